@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import ann, bpe, langid, packing, secrets, topk
+from sextant.llm import ann, bpe, langid, packing, pii, secrets, topk
 from sextant.llm.common import crc_mod
 
 
@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PII_KEY = "sextant-demonstration-key"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+    of = lambda kind: F.filter("found", lambda x: x["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return done.select("doc_id", "text", *counts)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.findings(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -44,6 +54,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_secrets": op2_secrets,
         "op3_ann": op3_ann,
         "op6_bpe": op6_bpe,
