@@ -46,7 +46,7 @@ def crc_mod(col: Column, m: int) -> Column:
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """mapInArrow with per-task state: make() runs once a task and gives the function from batch to columns."""
-    out = _arrow_schema(df.sparkSession, schema)
+    out = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
@@ -58,8 +58,8 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import toarrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    return toarrow_schema(StructType.fromDDL(ddl))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import ann, bpe, langid, neardup, packing, pii, secrets, topk
+from sextant.llm import ann, archive, bpe, langid, neardup, packing, pii, secrets, topk
 from sextant.llm.common import crc_mod
 
 
@@ -33,6 +33,10 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_secrets": op2_secrets,
         "op3_ann": op3_ann,
+        "op4_warc": op4_warc,
         "op5_neardup": op5_neardup,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
