@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import ann, archive, bpe, langid, neardup, packing, pii, secrets, topk
+from sextant.llm import ann, archive, bpe, langid, langmodel, neardup, packing, pii, secrets, topk
 from sextant.llm.common import crc_mod
 
 
@@ -49,6 +49,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = langmodel.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+    return scored.withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_neardup": op5_neardup,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
+        "op8_lm": op8_lm,
         "op9_topk": op9_topk,
         "op10_langid": op10_langid,
     }

@@ -39,6 +39,11 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and where each text's words begin (one more entry: the end)."""
+    return words_of(texts)[:2]
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes(), and of each word the last two bytes, lowered, as one number (the last alone in a word of one)."""
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     up, down = _powers_to(len(raw))
@@ -50,7 +55,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(_BYTES[raw] * up[: len(raw)], out=sums[1:])
         words = mix((sums[ends] - sums[starts]) * down[starts])
     begins = np.concatenate([[0], np.cumsum(lengths)]) + 1
-    return words, np.searchsorted(starts, begins)
+    low = _LOWER[raw].astype(np.int32)
+    tails = np.where(ends - starts > 1, low[ends - 2] << 8, 0) | low[ends - 1]
+    return words, np.searchsorted(starts, begins), tails
 
 
 def shingle_sets(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
