@@ -167,6 +167,8 @@ class Model:
             "words": small(shape.head_classes, h, shape.width), "word_bias": np.zeros((shape.head_classes, shape.width), np.float32),
         }
         self.squares: dict[str, np.ndarray] = {}
+        self.pending: dict[str, np.ndarray] = {}
+        self.tokens = 0
 
     def begin(self, head: np.ndarray, tails: np.ndarray) -> None:
         """Set the biases to the logarithms of the head words' and the tail classes' counts: the state has no say yet."""
@@ -263,7 +265,8 @@ class Model:
         return logp, grad
 
     def learn(self, inputs, fresh, valid, keep, back, grad, n) -> None:
-        """Backpropagation through the window, then one AdaGrad step."""
+        """Backpropagation through the window. A step waits until the gradients of half a full window's tokens have come
+        together, so that where few streams are left, a single long document doesn't lead the model away."""
         w, h = self.w, self.shape.hidden
         table = np.zeros((*inputs.shape, 3 * h), np.float32)
         grad["gates"], grad["candidate"] = np.zeros_like(w["gates"]), np.zeros_like(w["candidate"])
@@ -284,15 +287,23 @@ class Model:
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         touched = at[first]
         rows = np.add.reduceat(table.reshape(-1, 3 * h)[order], first)
-        for name, g in [*((k, v) for k, v in grad.items() if k != "state"), ("table", rows)]:
-            g = np.clip(g / max(1, n) * 32, -1, 1)
-            s = self.squares.setdefault(name, np.full_like(w[name], 0.1))
-            if name == "table":
-                s[touched] += g * g
-                w[name][touched] -= self.shape.rate * g / np.sqrt(s[touched])
-            else:
-                s += g * g
-                w[name] -= self.shape.rate * g / np.sqrt(s)
+        own = self.pending.setdefault("table", np.zeros_like(w["table"]))
+        own[touched] += rows
+        for name, g in grad.items():
+            if name != "state":
+                self.pending[name] = self.pending[name] + g if name in self.pending else g
+        self.tokens += n
+        if self.tokens >= self.shape.window * self.shape.streams // 2:
+            self.descend()
+
+    def descend(self) -> None:
+        """One AdaGrad step with the gradients gathered so far."""
+        for name, g in self.pending.items():
+            g = np.clip(g * np.float32(32 / self.tokens), -1, 1)
+            s = self.squares.setdefault(name, np.full_like(self.w[name], 0.1))
+            s += g * g
+            self.w[name] -= np.float32(self.shape.rate) * g / np.sqrt(s)
+        self.pending, self.tokens = {}, 0
 
     def packed(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
