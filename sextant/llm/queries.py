@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sextant.llm import ann, archive, bpe, langid, langmodel, neardup, packing, pii, secrets, topk
 from sextant.llm.common import crc_mod
 
@@ -77,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm": op8_lm,
         "op9_topk": op9_topk,
         "op10_langid": op10_langid,
+        "pipeline": corpus_pipeline.run,
     }
 
 
