@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
 
         def step(batch):
             rows, out = batch.column("text"), {k: [] for k in ("at", "start", "length", "ids_crc32", "doc_tokens")}
-            sizes = pa.compute.fill_null(pa.compute.binary_length(rows), 0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(rows), 0).to_pylist()
             i, n = 0, len(rows)
             while i < n:
                 j, held = i, 0
