@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sextant-checkpoints-"))
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's name under the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed and kept in the checkpoint folder: a lost executor costs no recomputation of what came before."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -32,3 +32,19 @@ def chunks_to(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
         sink(windowed(docs, size, overlap), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def table_of(state: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write a running aggregate's whole state after each batch, under the batch's number: a batch that runs again
+    replaces its own folder."""
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+
+    return state.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The state after the last batch that table_of() has written."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == last).drop("batch")
