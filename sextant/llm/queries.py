@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sextant.llm import ann, archive, bpe, langid, langmodel, neardup, packing, pii, secrets, topk
+from sextant.llm import ann, archive, bpe, langid, langmodel, neardup, packing, pii, secrets, sql, topk
 from sextant.llm.common import crc_mod
 
 
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
