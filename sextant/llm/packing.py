@@ -7,6 +7,7 @@ Blocks are dealt by hash, so one block's work and memory are bounded however man
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import unicodedata
@@ -64,10 +65,11 @@ class WordIds:
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words, through those of their pre-tokens; new pre-tokens in one call, cut where a token ends a word."""
-        parts = [self.split(self.folded(w)) for w in words]
+        folded = self.folded("\n".join(words)).split("\n")  # folding leaves line ends where they are
+        parts = [[w] if w.isalpha() else [w[:-1], w[-1]] if w[-1] in ".,!?" and w[:-1].isalpha() else self.split(w) for w in folded]
         new = list(set(chain.from_iterable(parts)) - self.tokens.keys())
         if new:
-            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
             after = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(after) == len(new):
                 raw, start = ids.astype("<u4").tobytes(), 0
@@ -86,15 +88,19 @@ class WordIds:
             self.words = {}
         if len(self.tokens) >= self.most:
             self.tokens = {}
-        parts = [[[p] if p in self.special else self.spaced(p) if _SEPARATORS.search(p) else p.split() for p in (self.cut.split(t) if any(s in t for s in self.special) else (t,))] for t in texts]
-        fresh = set(chain.from_iterable(chain.from_iterable(parts))) - self.words.keys()
-        fresh.difference_update(self.special)
-        if fresh:
-            self.learn(list(fresh))
+        parts = [list(chain.from_iterable([p] if p in self.special else self.spaced(p) if _SEPARATORS.search(p) else p.split() for p in (self.cut.split(t) if any(s in t for s in self.special) else (t,)))) for t in texts]
         for s, i in self.special.items():
             self.words[s] = np.array([i], "<u4").tobytes()
-        word = self.words.__getitem__
-        return [b"".join(map(word, own[0] if len(own) == 1 else chain.from_iterable(own))) for own in parts]
+        found = [list(map(self.words.get, own)) for own in parts]
+        fresh: set[str] = set()
+        for own, ids in zip(parts, found, strict=True):
+            if None in ids:
+                fresh.update([w for w, x in zip(own, ids) if x is None])
+        if fresh:
+            self.learn(list(fresh))
+            word = self.words.__getitem__
+            found = [[word(w) if x is None else x for w, x in zip(own, ids)] if None in ids else ids for own, ids in zip(parts, found, strict=True)]
+        return list(map(b"".join, found))
 
 
 @lru_cache(maxsize=1)
@@ -124,7 +130,12 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
                 while j < n and (j == i or held + sizes[j] <= step_bytes):
                     held += sizes[j]
                     j += 1
-                for at, raw in enumerate(codec.encode_batch([t or "" for t in rows.slice(i, j - i).to_pylist()]), i):
+                gc.disable()  # only short lists without cycles are made, and many
+                try:
+                    encoded = codec.encode_batch([t or "" for t in rows.slice(i, j - i).to_pylist()])
+                finally:
+                    gc.enable()
+                for at, raw in enumerate(encoded, i):
                     raw += tail
                     total = len(raw) // 4
                     for start in range(0, total, capacity):
