@@ -120,7 +120,8 @@ def relation_type(raw: Column, collapse: bool = True) -> Column:
 
 
 def clamped(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """The value within its bounds; null stays null."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def merged_metadata(declared: Column, extra: Column) -> Column:
