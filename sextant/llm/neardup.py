@@ -5,8 +5,8 @@
 2. In each bucket, the smallest id is the centre of a star: one candidate edge a member, whatever the bucket's size.
 3. Candidate edges are confirmed on the full sets; links give components by contraction.
 4. A bucket whose members still lie in several components may hold a link that its star didn't test. There, members of
-   different components are compared by two-bit sketches of their signatures, inside the join; the few pairs that can
-   reach the similarity are confirmed as before.
+   different components are compared by sketches, inside the join; the few pairs that can reach the similarity are
+   confirmed as before.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from sextant.llm.common import map_rows, written
 from sextant.llm.shingles import OnePermutation, set_hash, shingle_sets
 
 BANDS, ROWS, PERCENT = 50, 6, 75
+ODD_BITS = 2048
 _STEP = 1 << 20  # bytes of text hashed at a time
 
 
@@ -44,6 +45,13 @@ def _sketch(values: np.ndarray) -> np.ndarray:
         return (two.reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(1, dtype=np.uint64).astype(np.int64)
 
 
+def _odd_sketch(own: np.ndarray) -> np.ndarray:
+    """One bit a hash bucket: whether an odd number of the set's shingles falls there. The bits in which two sets differ
+    are at most as many as the shingles that only one of them has."""
+    odd = np.bincount((own >> np.uint64(20)).astype(np.int64) & (ODD_BITS - 1), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """id, n, h1, h2 (the set's name), keys (one a band) and sketch of each row of (id, text)."""
 
@@ -62,7 +70,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 if len(own):
                     values = permutation.signature(own)
                     keys.append(permutation.keys_of(values))
-                    sketches.append(_sketch(values))
+                    sketches.append(np.concatenate([_sketch(values), _odd_sketch(own)]))
             at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             none = np.zeros((0, 1), np.int64)
             for name, rows_ in (("keys", keys), ("sketch", sketches)):
@@ -125,19 +133,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _can_reach(values: int, percent: int, words: int) -> Column:
     """Whether two rows x and y can reach the similarity by their sizes and sketches.
 
-    Two-bit values of sets of similarity s differ with probability 3/4 (1 - s). Five standard deviations more than that
-    are let pass; small sets have few independent values, so many more differences.
+    At the similarity, the shingles that only one set has are at most (100 - percent) / (100 + percent) of both sizes; the
+    odd sketches, the last words, never differ in more bits, so they lose nothing. They saturate with large sets. There
+    the two-bit values of the signatures tell: with similarity s they differ with probability 3/4 (1 - s), and five
+    standard deviations more are let pass.
     """
-    differ = None
-    for i in range(words):
-        z = F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])
-        one = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555))
-        differ = F.bit_count(one) if differ is None else differ + F.bit_count(one)
+    both = [F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i]) for i in range(words + ODD_BITS // 64)]
+    differ = sum((F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555))) for z in both[1:words]), F.bit_count(both[0].bitwiseOR(F.shiftrightunsigned(both[0], 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    odd = sum((F.bit_count(z) for z in both[words + 1 :]), F.bit_count(both[words]))
+    near = odd * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     p = 0.75 * (1 - percent / 100)
     independent = F.least(F.lit(float(values)), 0.5 * F.least("x.n", "y.n"))
     most = values * (p + 5 * F.sqrt(F.lit(p * (1 - p)) / independent))
     sizes = (100 * F.least("x.n", "y.n")) >= (percent * F.greatest("x.n", "y.n"))
-    return sizes & (differ <= most)
+    return sizes & near & (differ <= most)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
