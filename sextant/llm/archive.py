@@ -91,7 +91,7 @@ class ZipRanges:
     def _directory(self) -> Iterator[Member]:
         tail_at = max(0, self.end - 22 - 65535)
         tail = self._read(tail_at, self.end - tail_at)
-        at = tail.rfind(b"PK\x05\x06")
+        at = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))  # its fixed part is 22 bytes long
         while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
             at = tail.rfind(b"PK\x05\x06", 0, at)
         if at < 0:

@@ -7,6 +7,7 @@ however many paths hold it, adds them, and joins the findings back to all paths.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,9 +115,10 @@ def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     by_blob = work_dir(spark, "blob-findings")
     hits.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("__spans")).write.parquet(by_blob)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = versions.drop(spans_col).withColumn("__blob", F.unhex(F.sha2(text, 256)))
-    joined = named.join(spark.read.parquet(by_blob).withColumnRenamed("blob", "__blob"), "__blob", "left")
-    return joined.withColumn(spans_col, F.coalesce("__spans", F.array().cast(SPANS))).drop("__blob", "__spans")
+    blob, own = f"blob_{uuid.uuid4().hex}", f"spans_{uuid.uuid4().hex}"  # no column of the input has these names
+    named = versions.drop(spans_col).withColumn(blob, F.unhex(F.sha2(text, 256)))
+    joined = named.join(spark.read.parquet(by_blob).toDF(blob, own), blob, "left")
+    return joined.withColumn(spans_col, F.coalesce(own, F.array().cast(SPANS))).drop(blob, own)
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
