@@ -229,3 +229,27 @@ def test_only_the_entry_knows_the_llm_package():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "sextant.llm" not in path.read_text()
+
+
+def test_telemetry(spark):
+    from sextant.plans import telemetry
+
+    events = []
+    handler = lambda name, data: events.append((name, data))
+    telemetry.attach(handler)
+    with telemetry.span("search", k=3) as out:
+        out["found"] = 2
+    with pytest.raises(ValueError), telemetry.span("search"):
+        raise ValueError
+    telemetry.detach(handler)
+    assert [n for n, _ in events] == ["search.start", "search.stop", "search.start", "search.exception"] and events[1][1]["found"] == 2
+    df, seen = telemetry.observed(spark.range(5), n=F.count("*"))
+    df.collect()
+    assert seen.get == {"n": 5}
+
+
+def test_command_line(capsys):
+    from sextant.__main__ import main
+
+    assert main(["list"]) == 0 and "hybrid_weighted" in capsys.readouterr().out
+    assert main(["run", "no such query", "x"]) == 2
