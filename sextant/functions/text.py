@@ -133,3 +133,14 @@ def first_json_object(text: Column) -> Column:
     """The first {...} without nested braces in a model's answer, code fences aside; null if there is none."""
     found = F.regexp_extract(text, "\\{[^{}]*\\}", 0)
     return F.when(found != "", found)
+
+
+def is_uuid(value: Column) -> Column:
+    """Whether a text is a UUID: anything else names nothing, it isn't an error."""
+    return F.coalesce(F.rlike(value, F.lit("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")), F.lit(False))
+
+
+def relation_line(source: Column, kind: Column, target: Column, description: Column) -> Column:
+    """A relationship as a line of a prompt."""
+    head = F.concat(source, F.lit(" -"), kind, F.lit("-> "), target)
+    return F.when(F.coalesce(F.length(description), F.lit(0)) > 0, F.concat_ws(": ", head, description)).otherwise(head)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -62,3 +63,17 @@ def passes(metrics_row: dict, fail_under: float, metric: str = "recall_at_5") ->
 def compare(runs: dict[str, DataFrame]) -> DataFrame:
     """Several runs' means, one row a run."""
     return reduce(DataFrame.unionByName, [run_metrics(m).withColumn("run", F.lit(name)) for name, m in runs.items()])
+
+
+def generated_cases(chunks: DataFrame, ask: Callable[[str], str], n: int, seed: int = 0) -> list[dict]:
+    """At most n synthetic test cases: a question about each of a sample of chunks (id, text), whose answer is that chunk.
+    A chunk about which nothing can be asked gives none."""
+    cases = []
+    for row in sample(chunks, n, seed).collect():
+        try:
+            question = ask(row["text"])
+        except Exception:  # noqa: BLE001  the others still count
+            continue
+        if question and question.strip():
+            cases.append({"case_id": len(cases), "question": question.strip(), "relevant": [row["id"]], "source": "synthetic"})
+    return cases

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
@@ -315,3 +315,37 @@ def degrees_within(communities: DataFrame, relationships: DataFrame) -> DataFram
     a, b = members.withColumnRenamed("entity_id", "source_id"), members.withColumnRenamed("entity_id", "target_id")
     inner = relationships.join(a, "source_id").join(b, ["id", "target_id"])
     return inner.select("id", F.explode(F.array("source_id", "target_id")).alias("entity_id")).groupBy("id", "entity_id").agg(F.count("*").alias("degree"))
+
+
+def mention_details(entity_ids: DataFrame, mentions: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame:
+    """entity_id, chunk_id, text: the first chunks that name each entity (id)."""
+    rows = mentions.join(entity_ids.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi").select("entity_id", "chunk_id").distinct()
+    order = Window.partitionBy("entity_id").orderBy("chunk_id")
+    first = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).drop("n")
+    return first.join(chunks.select(F.col("id").alias("chunk_id"), "text"), "chunk_id").select("entity_id", "chunk_id", "text")
+
+
+def relationships_of(entity_ids: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Relationships with one of the entities (id) at either end, each once."""
+    ids = entity_ids.select("id").distinct()
+    out = relationships.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    into = relationships.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
+    return out.unionByName(into)
+
+
+def summaries_containing(communities: DataFrame, entity_id: object, levels: int | Sequence[int] | None = None) -> DataFrame:
+    """Summaries of the communities that hold the entity, at the readable levels."""
+    wanted = levels_of(levels)
+    rows = communities.where(F.array_contains("entity_ids", F.lit(entity_id)) & F.col("summary").isNotNull())
+    return rows if wanted is None else rows.where(F.col("level").isin(*wanted))
+
+
+def detected(entities: DataFrame, relationships: DataFrame, *, rounds: int = 5, min_size: int = 1) -> DataFrame:
+    """community, level, entity_ids of each collection by itself: label propagation at level 0, components at level 1."""
+    inside = weighted_edges(relationships, entities)
+    collection = entities.select("id", "collection")
+    a, b = collection.toDF("source_id", "__a"), collection.toDF("target_id", "__b")
+    own = inside.join(a, "source_id").join(b, "target_id").where(F.col("__a").eqNullSafe(F.col("__b"))).drop("__a", "__b")
+    levels = hierarchy([label_propagation(own, entities, rounds), components(own, entities)])
+    out = [community_lists(m, i, min_size) for i, m in enumerate(levels)]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])

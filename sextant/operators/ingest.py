@@ -204,3 +204,15 @@ def duplicates(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def page_of(rows: DataFrame, order: Sequence[Column | str], limit: int, offset: int = 0) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def embed_missing(rows: DataFrame, embed: Callable[[Column], Column], text: Column, *, force: bool = False) -> DataFrame:
+    """rows with an embedding where there was none, or everywhere with force: one pass, no paging."""
+    new = embed(text)
+    return rows.withColumn("embedding", new if force else F.coalesce(F.col("embedding"), new))
+
+
+def upsert_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """rows (id, embedding) with the embeddings of vectors (id, embedding) in place of theirs."""
+    fresh = vectors.dropDuplicates(["id"]).select("id", F.col("embedding").alias("__new"))
+    return rows.join(fresh, "id", "left").withColumn("embedding", F.coalesce("__new", "embedding")).drop("__new")

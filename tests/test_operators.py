@@ -253,3 +253,45 @@ def test_command_line(capsys):
 
     assert main(["list"]) == 0 and "hybrid_weighted" in capsys.readouterr().out
     assert main(["run", "no such query", "x"]) == 2
+
+
+def test_graph_store(spark, graph, tmp_path):
+    from sextant.sources.graph_store import ParquetGraph
+
+    g = ParquetGraph(spark, f"file://{tmp_path}/graph")
+    assert g.tables()["entities"].count() == 0
+    g.persist(graph | {"communities": graph["communities"].withColumn("summary", F.lit("s"))})
+    assert {r["chunk_id"]: round(r["score"], 3) for r in g.search(["A"], depth=1).collect()} == {1: 0.15, 2: 0.05}
+    assert {r["name"] for r in g.related(spark.createDataFrame([("a",)], "id string"), 2).collect()} == {"A", "B", "C"}
+    g.sweep()
+    assert g.tables()["entities"].count() == 3 and g.tables()["communities"].where("dirty").count() == 2
+    g.delete_by_collection("one")
+    assert g.tables()["relationships"].count() == 0
+
+
+def test_lookups(spark, graph):
+    ids = spark.createDataFrame([("b",)], "id string")
+    chunks = spark.createDataFrame([(1, "x"), (2, "y")], "id long, text string")
+    assert {(r["chunk_id"], r["text"]) for r in G.mention_details(ids, graph["mentions"], chunks, 1).collect()} == {(1, "x")}
+    assert G.relationships_of(ids, graph["relationships"]).count() == 2
+    comms = graph["communities"].withColumn("summary", F.lit("s"))
+    assert [r["id"] for r in G.summaries_containing(comms, "f", 1).collect()] == ["y"]
+    found = G.detected(graph["entities"], graph["relationships"], min_size=2).collect()
+    assert {x for r in found for x in r["entity_ids"]} == set("abcde")
+    assert one(spark, T.is_uuid(F.lit("no"))) is False
+    assert one(spark, T.relation_line(F.lit("a"), F.lit("R"), F.lit("b"), F.lit(None).cast("string"))) == "a -R-> b"
+
+
+def test_schema_and_embeddings(spark):
+    from sextant.plans import schema
+
+    chunks = schema.empty(spark, "chunks")
+    assert schema.problems("chunks", chunks, 3).count() == 0
+    bad = spark.createDataFrame([("1", None, [1.0], 0, 1, {}, "d")], schema.TABLES["chunks"])
+    assert {r["problem"] for r in schema.problems("chunks", bad, 3).collect()} == {"no text", "other dimension"}
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", [9.0])], "id long, text string, embedding array<double>")
+    embed = lambda t: V.hash_embedding(F.array(t), 8)
+    got = {r["id"]: r["embedding"] for r in ingest.embed_missing(rows, embed, F.col("text")).collect()}
+    assert got[2] == [9.0] and len(got[1]) == 8
+    cases = E.generated_cases(rows, lambda t: f"What about {t}?", 2)
+    assert len(cases) == 2 and cases[0]["relevant"]
