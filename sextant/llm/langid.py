@@ -53,8 +53,10 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
 class Classifier:
     """Compressed sizes of a text under each language's dictionary."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int, window: int):
-        self.window = window
+    def __init__(self, dictionaries: dict[str, bytes], level: int, window: int, least: int = 128):
+        """least: a shorter text is written again and again up to so many bytes. zstandard stores a block raw that saves
+        next to nothing, so that alone a few words would have the same size with every dictionary."""
+        self.window, self.least = window, least
         self.by_lang = []
         for lang, raw in sorted(dictionaries.items()):
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -66,6 +68,8 @@ class Classifier:
         if text is None or not _LETTER.search(text) or not self.by_lang:
             return "und", 0.0
         raw = normalized(text)
+        if len(raw) < self.least:
+            raw *= -(-self.least // len(raw))
         pieces = [raw[i : i + self.window] for i in range(0, len(raw), self.window)]
         sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in self.by_lang)
         if len(sizes) == 1:
