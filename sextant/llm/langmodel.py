@@ -108,6 +108,28 @@ def count_words(docs: DataFrame, text_col: str, classes: int, most: int = 1 << 2
     return part.groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, counts and classes of at most `most` words, by descending count, then word.
+
+    A histogram over bands of counts, 64 to a factor of e, says from which band on all words fit; so no task sorts or
+    gathers more than the words that are sent.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) * 64).cast("int")
+    sizes = counts.groupBy(band.alias("band")).agg(F.count("*").alias("k")).collect()
+    least, held = math.inf, 0
+    for row in sorted(sizes, key=lambda r: -r["band"]):
+        held += row["k"]
+        if held > most:
+            break
+        least = row["band"]
+    rows = counts.where(band >= least).toArrow() if least < math.inf else None
+    if rows is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words, n, classes = rows.column("word").to_numpy().astype(np.int64), rows.column("n").to_numpy(), rows.column("class").to_numpy()
+    order = np.lexsort((words, -n))
+    return words[order].view(np.uint64), n[order], classes[order]
+
+
 class Frequent:
     """The frequent words, by hash: counts, and the model's ids of the first of them."""
 
@@ -380,14 +402,13 @@ def score(docs: DataFrame, is_train: Column, *, id_col: str = "doc_id", text_col
     train = docs.where(is_train)
     counts = written(count_words(train, text_col, shape.tail_classes), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(shape.frequent).toArrow()
-    words, numbers = top.column("word").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
+    words, numbers, classes = most_frequent(counts, shape.frequent)
     frequent = Frequent(words, numbers, shape)
     by_class = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     sums = np.zeros((shape.tail_classes, 2))
     for c, pair in by_class.items():
         sums[c] = pair
-    np.subtract.at(sums, top.column("class").to_numpy()[: shape.head], np.stack([numbers[: shape.head], np.ones(min(len(numbers), shape.head))], 1) if len(numbers) else np.zeros((0, 2)))
+    np.subtract.at(sums, classes[: shape.head], np.stack([numbers[: shape.head], np.ones(min(len(numbers), shape.head))], 1) if len(numbers) else np.zeros((0, 2)))
     class_log = np.log10(sums.sum(1) + 1)
     weights = fit(train, frequent, sums[:, 0], shape, text_col=text_col)
     sent = spark.sparkContext.broadcast((frequent, weights, class_log))
