@@ -3,7 +3,7 @@
 Tokens are words and an end. The output softmax is factored: first a class, then a word within it. The most frequent
 words have classes of their own kind, `width` words each, and a softmax within the class that depends on the state; the
 others fall to classes by their last letters and are drawn there by their counts. Training is truncated backpropagation
-over windows; the state goes on from window to window to a document's end. Documents lie end to end in parallel streams.
+over all windows; the state goes on from window to window to a document's end. Documents lie end to end in parallel streams.
 
 Word counts are counts of 64-bit hashes over all training text. The bounded set of frequent words goes to every task;
 the counts of the rest are joined.
@@ -31,8 +31,7 @@ _STEP = 1 << 20
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the model. frequent: words whose counts are sent to all tasks, the bound of that broadcast. every: of so
-    many windows one has a gradient step in training; the state runs through all."""
+    """Sizes of the model. frequent: words whose counts are sent to all tasks, the bound of that broadcast."""
 
     hidden: int = 24
     head_classes: int = 16
@@ -43,7 +42,6 @@ class Shape:
     window: int = 24
     buffer_docs: int = 4096
     rate: float = 0.05
-    every: int = 8
 
     @property
     def head(self) -> int:
@@ -200,9 +198,8 @@ class Model:
         self.w["word_bias"] = np.log(full + 1e-3).astype(np.float32)
         self.w["class_bias"] = np.log(np.concatenate([full.sum(1), tails]) + 1e-3).astype(np.float32)
 
-    def run(self, docs: list[np.ndarray], train: bool, every: int = 1) -> np.ndarray:
-        """Natural log-probability of each document's classes and head words; with train, it learns from one window of
-        `every` instead, and only those count."""
+    def run(self, docs: list[np.ndarray], train: bool) -> np.ndarray:
+        """Natural log-probability of each document's classes and head words; with train, it also learns from every window."""
         shape, w, h = self.shape, self.w, self.shape.hidden
         scores = np.zeros(len(docs))
         if not docs:
@@ -221,26 +218,30 @@ class Model:
             inputs = np.where(fresh, start, np.vstack([ids[t0 - 1][live][None] if t0 else own[:1], own[:-1]]))
             inputs[own < 0] = start
             x = w["table"][inputs]
-            hs, last = [], state[live]
-            keep = []
-            step = train and t0 // shape.window % every == 0
+            last = state[live]
+            keep = np.empty((5 if train else 1, *own.shape, h), np.float32)  # new states; with train also old ones, gates and candidates
             for t in range(len(own)):
                 if fresh[t].any():
                     last = np.where(fresh[t][:, None], np.float32(0), last)
-                rz = 0.5 + 0.5 * np.tanh(0.5 * (x[t, :, : 2 * h] + last @ w["gates"]))
+                rz = last @ w["gates"]
+                rz += x[t, :, : 2 * h]
+                rz *= np.float32(0.5)
+                np.tanh(rz, out=rz)
+                rz *= np.float32(0.5)
+                rz += np.float32(0.5)
                 r, z = rz[:, :h], rz[:, h:]
-                rh = r * last
-                c = np.tanh(x[t, :, 2 * h :] + rh @ w["candidate"])
-                new = c + z * (last - c)
-                if step:
-                    keep.append((last, r, z, rh, c))
-                hs.append(new)
-                last = new
+                c = (r * last) @ w["candidate"]
+                c += x[t, :, 2 * h :]
+                np.tanh(c, out=c)
+                if train:
+                    keep[1, t], keep[2, t], keep[3, t], keep[4, t] = last, r, z, c
+                new = last - c
+                new *= z
+                new += c
+                keep[0, t] = last = new
             state[live] = last
-            if train and not step:
-                continue
             valid = own >= 0
-            flat = np.stack(hs)[valid]
+            flat = keep[0][valid]
             target = own[valid]
             logp, grad = self.output(flat, target, train)
             scores += np.bincount(who[valid], weights=logp, minlength=len(docs))
@@ -266,49 +267,58 @@ class Model:
             e[rows, cls] -= 1
             grad = {"classes": flat.T @ e, "class_bias": e.sum(0), "state": e @ w["classes"].T, "words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
         at = np.flatnonzero(head)
-        at = at[np.argsort(cls[at], kind="stable")]
+        at = at[np.argsort(cls[at].astype(np.int16), kind="stable")]
         ends = np.searchsorted(cls[at], np.arange(shape.head_classes + 1))
+        f_all, words, inside = flat[at], target[at] % shape.width, np.zeros(len(at))
+        back = np.empty_like(f_all) if train else None
         for k in range(shape.head_classes):
-            own = at[ends[k] : ends[k + 1]]
-            if len(own):
-                word = target[own] - k * shape.width
-                f = flat[own]
+            own = slice(ends[k], ends[k + 1])
+            word, f = words[own], f_all[own]
+            if len(word):
                 inner = f @ w["words"][k] + w["word_bias"][k]
                 inner -= inner.max(1, keepdims=True)
-                ei = np.exp(inner)
+                i = np.arange(len(word))
+                inside[own] = inner[i, word]
+                ei = np.exp(inner, out=inner)
                 ti = ei.sum(1, keepdims=True)
-                i = np.arange(len(own))
-                logp[own] += inner[i, word] - np.log(ti[:, 0])
+                inside[own] -= np.log(ti[:, 0])
                 if train:
                     ei /= ti
                     ei[i, word] -= 1
                     grad["words"][k], grad["word_bias"][k] = f.T @ ei, ei.sum(0)
-                    grad["state"][own] += ei @ w["words"][k].T
+                    back[own] = ei @ w["words"][k].T
+        logp[at] += inside
+        if train:
+            grad["state"][at] += back
         return logp, grad
 
     def learn(self, inputs, fresh, valid, keep, back, grad, n) -> None:
         """Backpropagation through the window. A step waits until the gradients of half a full window's tokens have come
         together, so that where few streams are left, a single long document doesn't lead the model away."""
         w, h = self.w, self.shape.hidden
-        table = np.zeros((*inputs.shape, 3 * h), np.float32)
-        grad["gates"], grad["candidate"] = np.zeros_like(w["gates"]), np.zeros_like(w["candidate"])
+        _, last, r, z, c = keep
+        table = np.empty((*inputs.shape, 3 * h), np.float32)
+        by_candidate, by_update, by_reset = (1 - z) * (1 - c * c), (last - c) * z * (1 - z), last * r * (1 - r)
         carried = np.zeros_like(back[0])
-        for t in range(len(keep) - 1, -1, -1):
-            last, r, z, rh, c = keep[t]
+        for t in range(len(inputs) - 1, -1, -1):
             d = back[t] + carried
-            dc = d * (1 - z) * (1 - c * c)
+            dc = d * by_candidate[t]
             drh = dc @ w["candidate"].T
-            drz = np.hstack([drh * last * r * (1 - r), d * (last - c) * z * (1 - z)])
-            grad["candidate"] += rh.T @ dc
-            grad["gates"] += last.T @ drz
-            table[t, :, : 2 * h], table[t, :, 2 * h :] = drz, dc
-            carried = d * z + drh * r + drz @ w["gates"].T
+            table[t, :, :h], table[t, :, h : 2 * h], table[t, :, 2 * h :] = drh * by_reset[t], d * by_update[t], dc
+            carried = table[t, :, : 2 * h] @ w["gates"].T
+            d *= z[t]
+            drh *= r[t]
+            carried += d
+            carried += drh
             carried[fresh[t]] = 0
-        order = np.argsort(inputs, axis=None, kind="stable")
+        flat = table.reshape(-1, 3 * h)
+        grad["gates"] = last.reshape(-1, h).T @ flat[:, : 2 * h]
+        grad["candidate"] = (r * last).reshape(-1, h).T @ flat[:, 2 * h :]
+        order = np.argsort(inputs.astype(np.int16) if len(w["table"]) < 1 << 15 else inputs, axis=None, kind="stable")
         at = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         touched = at[first]
-        rows = np.add.reduceat(table.reshape(-1, 3 * h)[order], first)
+        rows = np.add.reduceat(flat[order], first)
         own = self.pending.setdefault("table", np.zeros_like(w["table"]))
         own[touched] += rows
         for name, g in grad.items():
@@ -319,7 +329,9 @@ class Model:
             self.descend()
 
     def descend(self) -> None:
-        """One AdaGrad step with the gradients gathered so far."""
+        """One AdaGrad step with the gradients gathered so far, if there are any."""
+        if not self.tokens:
+            return
         for name, g in self.pending.items():
             g = np.clip(g * np.float32(32 / self.tokens), -1, 1)
             s = self.squares.setdefault(name, np.full_like(self.w[name], 0.1))
@@ -363,6 +375,7 @@ def fit(train: DataFrame, frequent: Frequent, tails: np.ndarray, shape: Shape, *
     for row in [texts.limit(start_docs).toArrow().column("text").to_pylist()]:
         docs = [frequent.look_up(h, t)[0] for h, t in tokens_of(row)]
         first.run(docs, True)
+    first.descend()
     sent = spark.sparkContext.broadcast((frequent, first.w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +384,8 @@ def fit(train: DataFrame, frequent: Frequent, tails: np.ndarray, shape: Shape, *
         for rows in _buffers(batches, shape.buffer_docs):
             docs = [frequent.look_up(h, t)[0] for _, h, t in rows]
             n += sum(map(len, docs))
-            model.run(docs, True, shape.every)
+            model.run(docs, True)
+        model.descend()  # gradients that no full step took up
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([model.packed().astype("<f8") * n]).cast(pa.list_(pa.float64()))], ["n", "sums"])
 

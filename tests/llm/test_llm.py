@@ -429,6 +429,28 @@ def test_lm_probabilities_and_gradients():
     assert model.run(seq, False).sum() > before + 3
 
 
+def fitted(spark, texts, shape, parts):
+    own = list(langmodel.tokens_of(texts))
+    words, n = np.unique(np.concatenate([h for h, _ in own]), return_counts=True)
+    by = np.lexsort((words, -n))
+    frequent, tails = langmodel.Frequent(words[by], n[by], shape), np.ones(shape.tail_classes)
+    start = langmodel.Model(shape)
+    start.begin(frequent.head_counts(), tails)
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+    return start.w, langmodel.fit(table, frequent, tails, shape, start_docs=0)
+
+
+def test_lm_learns_from_every_window(spark):
+    first, rest = "a b c d e ", ("b a c d e " * 7, "e d c a b " * 7)
+    weights = [fitted(spark, [first + r] * 4, SMALL, 1)[1] for r in rest]  # the first window and all counts are the same
+    assert not np.allclose(weights[0]["gates"], weights[1]["gates"], atol=1e-6)
+
+
+def test_lm_learns_from_small_partitions(spark):
+    start, end = fitted(spark, [f"a b c{i}" for i in range(8)], langmodel.Shape(head_classes=2, width=4, tail_classes=3, frequent=20), 8)
+    assert any(not np.allclose(start[k], end[k], atol=1e-6) for k in start)
+
+
 # --- 10 language ID ---------------------------------------------------------------------------------------------
 
 
