@@ -469,6 +469,19 @@ def test_langid(spark):
     assert langid.identify(docs(spark, []), model).count() == 0
 
 
+def test_langid_rejects_what_it_has_not_learned(spark):
+    rng = random.Random(4)
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    letters = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+    finnish = "ja on ei se että hän oli joka mutta niin kuin tämä myös vain ovat talo järvi metsä lapsi koulu kaupunki ystävä päivä yö vesi maa taivas aurinko kirja sana kieli ihminen elämä työ aika vuosi kesä talvi hyvä paha suuri pieni vanha uusi".split()
+    noise = [(i, letters(n)) for i, n in enumerate([60, 120, 500] * 15)]
+    foreign = [(100 + i, " ".join(rng.choices(finnish, k=n))) for i, n in enumerate([60, 120, 500] * 15)]
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(docs(spark, noise + foreign), model).collect()}
+    assert sum(got[i] for i, _ in noise) >= 0.9 * len(noise) and sum(got[i] for i, _ in foreign) >= 0.9 * len(foreign)
+    clean = langid.identify(spark.read.parquet(f"{SF}/documents.parquet").where(F.length("text") >= 40), model)
+    assert clean.where("rejected").count() <= 0.005 * clean.count()
+
+
 # --- registered queries -----------------------------------------------------------------------------------------
 
 
