@@ -89,6 +89,11 @@ def relationship_detail(spark, sf):
     return G.detailed(rows, views.entities(spark, sf)).where(like("source_name", "%1%") | like("target_name", "%1%") | like("type", "%part%")).select("source_id", "target_id", "source_name", "target_name")
 
 
+@register("relationship_detail_all", f"{BASE} SELECT r.source_id, r.target_id, r.type, a.name AS source_name, b.name AS target_name FROM rels r JOIN ents a ON a.id = r.source_id JOIN ents b ON b.id = r.target_id")
+def relationship_detail_all(spark, sf):
+    return G.detailed(views.relationships(spark, sf), views.entities(spark, sf)).select("source_id", "target_id", "type", "source_name", "target_name")
+
+
 @register("entity_type_histogram", f"{BASE} SELECT type, count(*) AS n FROM ents GROUP BY type")
 def entity_type_histogram(spark, sf):
     return G.type_histogram(views.entities(spark, sf))
@@ -170,6 +175,12 @@ def community_connected_components(spark, sf):
     return G.components(rels, views.entities(spark, sf).where("type <> 'part'"))
 
 
+@register("community_connected_components_all")
+def community_connected_components_all(spark, sf):
+    """Over all relationships and entities; the recursive SQL above is too slow for them."""
+    return G.components(views.relationships(spark, sf), views.entities(spark, sf))
+
+
 @register("community_label_propagation")
 def community_label_propagation(spark, sf):
     entities = views.entities(spark, sf)

@@ -11,10 +11,13 @@ from sextant.operators import evaluation as E
 from sextant.operators import graph as G
 from sextant.operators import grounding, ingest, steps
 from sextant.operators import retrieval as R
-from sextant.plans import plugins
+from sextant.plans import catalog, plugins, views
 from sextant.sources import files, store
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def one(spark, column, **values):
     return spark.range(1).select(column).first()[0]
 
@@ -91,6 +94,23 @@ def test_components_and_labels(graph):
     assert {r["id"] for r in labels.collect()} == set("abcdef")
 
 
+def test_components_of_the_whole_graph(spark):
+    rels, entities = views.relationships(spark, SF), views.entities(spark, SF)
+    up = {r["id"]: r["id"] for r in entities.collect()}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in rels.collect():
+        a, b = sorted((root(r["source_id"]), root(r["target_id"])))
+        up[b] = a
+    got = {r["id"]: r["community"] for r in catalog.queries()["community_connected_components_all"](spark, SF).collect()}
+    assert got == {x: root(x) for x in up}
+    assert catalog.queries()["relationship_detail_all"](spark, SF).count() == rels.count()
+
+
 def test_sweep(graph):
     left = G.sweep_orphans(graph)
     assert {r["id"] for r in left["entities"].collect()} == set("abc")
