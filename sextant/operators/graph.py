@@ -36,16 +36,19 @@ def resolve(rows: DataFrame, entities: DataFrame, name_col: str, id_col: str) ->
     return rows.withColumn("__key", T.normalized_name(F.col(name_col))).join(keys, "__key").drop("__key")
 
 
-def cooccurrences(mentions: DataFrame, most: int = 64) -> DataFrame:
+def cooccurrences(mentions: DataFrame, block: int = 64) -> DataFrame:
     """Extension: source_id < target_id named in the same chunk, strength the number of such chunks.
 
-    Chunks that name more than `most` entities link consecutive ones (by id) instead of all pairs, so pairs stay linear.
+    Every pair of every chunk. A chunk's entities lie in blocks of `block` by id; pairs of blocks are dealt out, so that a
+    large chunk's pairs come from many tasks, and counted there before the shuffle.
     """
-    groups = mentions.distinct().groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("e"))
-    i = F.posexplode("e").alias("i", "source_id")
-    left = groups.select("chunk_id", "e", i)
-    reach = F.when(F.size("e") > most, 1).otherwise(F.size("e"))
-    pairs = left.select("source_id", F.explode(F.slice("e", F.col("i") + 2, reach)).alias("target_id"))
+    groups = mentions.distinct().groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("e")).where(F.size("e") > 1)
+    last = F.floor((F.size("e") - 1) / block).cast("int")
+    lefts = groups.select("chunk_id", "e", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    both = lefts.select("chunk_id", "e", "i", F.explode(F.sequence("i", "last")).alias("j"))
+    part = lambda c: F.slice("e", F.col(c) * block + 1, block)
+    blocks = both.select("chunk_id", "i", "j", part("i").alias("a"), part("j").alias("b")).repartition("chunk_id", "i", "j")
+    pairs = blocks.select(F.explode("a").alias("source_id"), "b").select("source_id", F.explode("b").alias("target_id")).where("source_id < target_id")
     return pairs.groupBy("source_id", "target_id").agg(F.count("*").alias("strength"))
 
 

@@ -111,6 +111,13 @@ def test_components_of_the_whole_graph(spark):
     assert catalog.queries()["relationship_detail_all"](spark, SF).count() == rels.count()
 
 
+def test_cooccurrences_of_large_chunks(spark):
+    rows = [(f"e{i:03}", c) for c, n in ((1, 150), (2, 70), (3, 64), (4, 1)) for i in range(n)]
+    got = G.cooccurrences(spark.createDataFrame(rows, "entity_id string, chunk_id long")).collect()
+    want = {(f"e{a:03}", f"e{b:03}"): 1 + (b < 70) + (b < 64) for b in range(150) for a in range(b)}
+    assert len(got) == len(want) and {(r["source_id"], r["target_id"]): r["strength"] for r in got} == want
+
+
 def test_sweep(graph):
     left = G.sweep_orphans(graph)
     assert {r["id"] for r in left["entities"].collect()} == set("abc")
