@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,43 @@ def vector_batch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float
     return top_per(scored if threshold is None else scored.where(F.col("score") > threshold), k)
 
 
+def vector_join(chunks: DataFrame, queries: DataFrame, k: int, threshold: float | None = 0.0, exclude_self: bool = False, block: int = 1024) -> DataFrame:
+    """As vector_batch, for queries without a bound: chunks and queries meet block by block, each block pair in one task.
+
+    Rows without a vector go. Sums run in the order of vector.cosine, so that scores and ties are the same.
+    """
+    kinds = dict(chunks.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    right = chunks.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v"))
+    left = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").cast("array<double>").alias("v"))
+    n, m = max(1, -(-right.count() // block)), max(1, -(-left.count() // block))
+    spread = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    right = right.withColumn("c", spread("id", n)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = left.withColumn("q", spread("query_id", m)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id", kind="stable")
+        lengths = [t["v"].map(len).to_numpy() for t in (a, b)]
+        width = max([0, *lengths[0], *lengths[1]])
+        x, y = (np.array([np.pad(v, (0, width - len(v))) for v in t["v"]], np.float64).reshape(len(t), width) for t in (a, b))
+        score, p, q = np.zeros((len(a), len(b))), np.zeros(len(a)), np.zeros(len(b))
+        for d in range(width):
+            score += x[:, d, None] * y[None, :, d]
+            p += x[:, d] * x[:, d]
+            q += y[:, d] * y[:, d]
+        scale = np.sqrt(p)[:, None] * np.sqrt(q)[None, :]
+        score = np.divide(score, scale, out=np.zeros_like(score), where=(scale != 0) & (lengths[0][:, None] == lengths[1][None, :]))
+        use = a["query_id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :] if exclude_self else np.ones(score.shape, bool)
+        use &= True if threshold is None else score > threshold
+        at = np.argsort(np.where(use, -score, np.inf), axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(a)), at.shape[1])
+        keep = use[row, at.ravel()]
+        row, col = row[keep], at.ravel()[keep]
+        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[row], "id": b["id"].to_numpy()[col], "score": score[row, col]})
+
+    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(meet, f"query_id {kinds[1]}, id {kinds[0]}, score double")
+    return top_per(found, k)
+
+
 def overlap_score(tokens: Column, terms: Column) -> Column:
     """Share of the query's terms in the text, damped by the number of its distinct tokens."""
     n = F.greatest(F.size(tokens), F.lit(2))

@@ -60,6 +60,19 @@ def vector_batch_topk(spark, sf):
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("vector_batch_topk_all")
+def vector_batch_topk_all(spark, sf):
+    found = R.vector_join(views.vectors(spark, sf), views.questions(spark, sf, None).select("query_id", "query"), 5, exclude_self=True)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("knn_self_join")
+def knn_self_join(spark, sf):
+    """Each vector's nearest other."""
+    found = R.vector_join(views.vectors(spark, sf), views.questions(spark, sf, None).select("query_id", "query"), 1, threshold=None, exclude_self=True)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @register("entity_topk_by_embedding", f"{SCORED} SELECT id, round(s, 6) AS score FROM scored WHERE 1 - s < 1 - 0.3 ORDER BY s DESC, id LIMIT 20")
 def entity_topk_by_embedding(spark, sf):
     return _out(R.top(_scored(spark, sf).where((1 - F.col("score")) < (1 - 0.3)), 20))
@@ -202,9 +215,9 @@ def maxsim(spark, sf):
 _EVAL = "WITH p AS (SELECT a.vec_id AS case_id, b.vec_id AS id, a.label = b.label AS rel, list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, id) AS rank FROM p), n AS (SELECT case_id, count(*) FILTER (rel) AS n FROM p GROUP BY case_id), h AS (SELECT r.case_id, any_value(n) AS n, " + ", ".join(f"count(*) FILTER (rel AND rank <= {k}) AS h{k}" for k in E.CUTS) + ", min(rank) FILTER (rel AND rank <= 10) AS first FROM r JOIN n USING (case_id) GROUP BY r.case_id)"
 
 
-def _cases(spark, sf):
-    q = views.questions(spark, sf, 20)
-    results = R.vector_batch(views.vectors(spark, sf), q.select("query_id", "query"), 10, threshold=None, exclude_self=True).select(F.col("query_id").alias("case_id"), "id", "rank")
+def _cases(spark, sf, n: int | None = 20):
+    q = views.questions(spark, sf, n)
+    results = (R.vector_join if n is None else R.vector_batch)(views.vectors(spark, sf), q.select("query_id", "query"), 10, threshold=None, exclude_self=True).select(F.col("query_id").alias("case_id"), "id", "rank")
     judged = q.join(views.vectors(spark, sf), (F.col("label") == F.col("query_label")) & (F.col("id") != F.col("query_id"))).select(F.col("query_id").alias("case_id"), "id")
     return E.case_metrics(q.select(F.col("query_id").alias("case_id")), results, judged)
 
@@ -219,6 +232,16 @@ def eval_mrr_hit(spark, sf):
     return E.run_metrics(_cases(spark, sf)).select("n_cases", F.round("mrr", 6).alias("mrr"), *(F.round(f"hit_at_{k}", 6).alias(f"hit_at_{k}") for k in E.CUTS))
 
 
+@register("eval_recall_precision_all")
+def eval_recall_precision_all(spark, sf):
+    return _cases(spark, sf, None).select("case_id", *(F.round(f"{m}_at_{k}", 6).alias(f"{m}_at_{k}") for k in E.CUTS for m in ("recall", "precision")))
+
+
+@register("eval_mrr_hit_all")
+def eval_mrr_hit_all(spark, sf):
+    return E.run_metrics(_cases(spark, sf, None)).select("n_cases", F.round("mrr", 6).alias("mrr"), *(F.round(f"hit_at_{k}", 6).alias(f"hit_at_{k}") for k in E.CUTS))
+
+
 @register("eval_answer_means", "SELECT avg(least(greatest(quality * 12, 0), 10)) AS faithfulness, avg(least(greatest(toxic * 4, 0), 10)) AS correctness FROM labels")
 def eval_answer_means(spark, sf):
     return E.answer_means(views.table(spark, sf, "labels").select((F.col("quality") * 12).alias("faithfulness"), (F.col("toxic") * 4).alias("correctness")))

@@ -118,6 +118,17 @@ def test_cooccurrences_of_large_chunks(spark):
     assert len(got) == len(want) and {(r["source_id"], r["target_id"]): r["strength"] for r in got} == want
 
 
+def test_searches_over_all_vectors(spark):
+    all_ids = {r["id"] for r in views.vectors(spark, SF).collect()}
+    q = views.questions(spark, SF, None).select("query_id", "query")
+    rows = lambda df: {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in df.collect()}
+    want = rows(R.vector_batch(views.vectors(spark, SF), q, 3, threshold=None, exclude_self=True))
+    assert rows(R.vector_join(views.vectors(spark, SF), q, 3, threshold=None, exclude_self=True, block=100)) == want
+    near = {r["query_id"]: r["id"] for r in catalog.queries()["knn_self_join"](spark, SF).collect()}
+    assert near == {i: want[i, 1][0] for i in all_ids}
+    assert catalog.queries()["eval_mrr_hit_all"](spark, SF).first()["n_cases"] == len(all_ids)
+
+
 def test_sweep(graph):
     left = G.sweep_orphans(graph)
     assert {r["id"] for r in left["entities"].collect()} == set("abc")
