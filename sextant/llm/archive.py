@@ -178,10 +178,11 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
-    named = rows.select("id", F.unhex(F.sha1("payload")).alias("sha1"))
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
+    named = rows.select("id", "sha1")
     shared = written(named.groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first"), "shared-payloads")
-    revisits = written(named.join(shared, "sha1").where("id != first").select("id", "first").distinct(), "revisits")
-    marked = rows.join(revisits, "id", "left")
+    revisits = written(named.join(shared, "sha1").where("NOT id <=> first").select(F.col("id").alias("again"), F.col("sha1").alias("digest"), "first").distinct(), "revisits")
+    marked = rows.join(revisits, F.col("id").eqNullSafe(F.col("again")) & (F.col("sha1") == F.col("digest")), "left").select("id", "url", "payload", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)

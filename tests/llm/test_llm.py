@@ -217,6 +217,13 @@ class Bytes:
         return self.raw[at : at + n]
 
 
+def test_warc_revisits_follow_the_payload(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u1", "aa"), (2, "u2", "aa"), (2, "u3", "bb"), (None, "u4", "aa")], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/packages"
+    got = archive.read_archives(archive.write_archives(pages, folder), folder, with_payload=True).collect()
+    assert sorted((r["url"], r["record_type"], r["refers_to"]) for r in got) == [("u1", "response", None), ("u2", "revisit", 1), ("u3", "response", None), ("u4", "revisit", 1)]
+
+
 def test_zip_directories():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
