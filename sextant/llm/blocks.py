@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 BlockSearch = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+#: Different vector lengths of a table, the bound of the counts sent to the driver.
+MOST_LENGTHS = 4096
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str, *, zero: bool) -> DataFrame:
     """Columns id and v (doubles) of the rows that take part: a non-null id and a non-empty vector of finite components; zero vectors only if asked for."""
     v = F.col("v")
@@ -37,10 +41,13 @@ def search(rows: DataFrame, is_query: Column, find: Callable[..., BlockSearch],
     """query_id, rank, vec_id, score: each query's k best of the rows but its own id, ties to the smaller id.
 
     rows has id and v. find() gives the function from (query ids, queries, ids, vectors) to arrays of query ids, ids and
-    scores. One small job counts rows and queries of each dimension; only those counts come to the driver.
+    scores. One small job counts rows and queries of each dimension; only those counts come to the driver. More than MOST_LENGTHS dimensions
+    are an error.
     """
     marked = rows.withColumn("d", F.size("v"))
-    counts = {r["d"]: (r["n"], r["q"]) for r in marked.groupBy("d").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).orderBy(F.desc("n")).limit(4096).collect()}
+    counts = {r["d"]: (r["n"], r["q"]) for r in marked.groupBy("d").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).limit(MOST_LENGTHS + 1).collect()}
+    if len(counts) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} different lengths")
     blocks = {d: (math.ceil(n / block_rows), max(1, math.ceil(q / query_rows))) for d, (n, q) in counts.items()}
     schema = f"query_id long, vec_id long, score {score_type}"
     if not blocks:

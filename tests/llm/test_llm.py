@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle
-from sextant.llm import ann, archive, bpe, langid, langmodel, neardup, packing, pii, queries, secrets, shingles, topk
+from sextant.llm import ann, archive, blocks, bpe, langid, langmodel, neardup, packing, pii, queries, secrets, shingles, topk
 
 SF = "/root/testdata/sf0.001"
 CLASH = "id long, row long, key string, block int, n double, spans string, __blob string, component int"
@@ -170,6 +170,14 @@ def test_exact_topk_random(spark):
     assert got == brute(rows, 10, 20, inner)
 
 
+def test_too_many_vector_lengths_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "MOST_LENGTHS", 2)
+    rows = vectors(spark, [(i, [1.0] * n) for i, n in enumerate([1, 2, 3])])
+    with pytest.raises(ValueError, match="different lengths"):
+        topk.search(rows, F.col("id") % 2 == 0)
+    assert topk.search(rows.where("vec_id < 2"), F.col("id") == 0).count() == 0
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(2)
     raw = rng.standard_normal((1200, 64))
