@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sextant.functions.arrays import let, running
+
 #: Unicode white space, spelled out: the engines' own \\s classes differ.
 WHITE = "[\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
-#: A few dozen frequent English words that a query's gate ignores: fixed values.
+#: The English stop words of the best-known full-text library's default analyzer: fixed values.
 STOPWORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
@@ -54,14 +56,14 @@ def sentences(text: Column) -> Column:
     parts = F.split(text, "(?<=[.!?])[ \\t\\n\\r\\f\\x0B]+", -1)
     gaps = F.regexp_extract_all(text, F.lit("(?<=[.!?])[ \\t\\n\\r\\f\\x0B]+"), F.lit(0))
 
-    def add(state: Column, pair: Column) -> Column:
-        end = state["at"] + F.octet_length(pair["part"])
-        one = F.array(F.struct(pair["part"].alias("text"), state["at"].alias("start"), end.alias("end")))
-        return F.struct((end + F.coalesce(F.octet_length(pair["gap"]), F.lit(0))).alias("at"), F.concat(state["out"], one).alias("out"))
+    def next_start(at: Column, pair: Column) -> Column:
+        return at + F.octet_length(pair["part"]) + F.coalesce(F.octet_length(pair["gap"]), F.lit(0))
+
+    def sentence(at: Column, pair: Column) -> Column:
+        return F.struct(pair["part"].alias("text"), at.alias("start"), (at + F.octet_length(pair["part"])).alias("end"))
 
-    empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
     pairs = F.arrays_zip(parts.alias("part"), gaps.alias("gap"))
-    return F.filter(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"]), lambda s: F.trim(s["text"]) != "")
+    return F.filter(running(pairs, F.lit(0), next_start, sentence, "struct<text:string,start:int,end:int>"), lambda s: F.trim(s["text"]) != "")
 
 
 def fixed_windows(text: Column, size: int, overlap: int) -> Column:
@@ -73,18 +75,23 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size)))
 
 
-def page_ranges(raw: Column) -> Column:
-    """array<struct(number, start, end)> of byte ranges of form-feed separated pages; one trailing form feed is dropped."""
-    body = F.regexp_replace(raw, "\\f\\z", "")
-    pages = F.split(body, "\\f", -1)
+def page_ranges(raw: Column, trimmed: Column | int = 0, kept: Column | None = None) -> Column:
+    """array<struct(number, start, end)> of byte ranges of form-feed separated pages; one trailing form feed is dropped.
+
+    trimmed: leading bytes that the stored text lacks; ranges move back by as many. kept: the stored text's bytes; ranges
+    end there at the latest.
+    """
+    def ranges(body: Column) -> Column:
+        return let(F.octet_length(body) - trimmed if kept is None else kept, lambda last: running(F.split(body, "\\f", -1), F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")), after, lambda s, own: page(s, own, last), "struct<number:int,start:int,end:int>"))
 
-    def add(state: Column, page: Column) -> Column:
-        end = state["at"] + F.octet_length(page)
-        one = F.array(F.struct((F.size(state["out"]) + 1).alias("number"), state["at"].alias("start"), end.alias("end")))
-        return F.struct((end + 1).alias("at"), F.concat(state["out"], one).alias("out"))
+    def page(state: Column, own: Column, last: Column) -> Column:
+        inside = lambda at: F.least(F.greatest(at - trimmed, F.lit(0)), last)
+        return F.struct((state["n"] + 1).alias("number"), inside(state["at"]).alias("start"), inside(state["at"] + F.octet_length(own)).alias("end"))
 
-    empty = F.array().cast("array<struct<number:int,start:int,end:int>>")
-    return F.aggregate(pages, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"])
+    def after(state: Column, own: Column) -> Column:
+        return F.struct((state["n"] + 1).alias("n"), (state["at"] + F.octet_length(own) + 1).alias("at"))
+
+    return let(F.regexp_replace(raw, "\\f\\z", ""), ranges)
 
 
 def byte_position(text: Column, part: Column) -> Column:
@@ -99,12 +106,18 @@ def content_type(path: Column) -> Column:
 
 
 def entities_in(text: Column) -> Column:
-    """array<string>: runs of capitalized ASCII words, a deterministic stand-in for a trained extractor."""
-    return F.regexp_extract_all(text, F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0))
+    """array<string>: distinct runs of capitalized ASCII words by first place, a deterministic stand-in for a trained extractor.
+
+    Possessive groups: the engine loops over a run of any length instead of going deeper with each word.
+    """
+    word = "[A-Z][a-z]++(?![A-Za-z0-9_])"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<![A-Za-z0-9_]){word}(?:[ \\t\\n\\r\\f\\x0B]++{word})*+"), F.lit(0)))
 
 
-def entity_type(name: Column) -> Column:
-    return F.when(F.instr(name, " ") > 0, "person").otherwise("concept")
+def entity_type(name: Column, place: Column) -> Column:
+    """The stand-in's type of the entity at a place in its text's list: persons have a space in their names; of the others
+    the text's first is an organization, the rest are concepts."""
+    return F.when(F.instr(name, " ") > 0, "person").when(place == 0, "organization").otherwise("concept")
 
 
 def label_type(label: Column) -> Column:

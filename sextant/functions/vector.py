@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when((F.size(a) != F.size(b)) | (scale == 0), 0.0).otherwise(dot(a, b) / scale)
 
 
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """cosine() with a vector that is known here: its norm is computed once, and a row's sums come from one pass over it."""
+    q = [float(x) for x in query]
+    scale = math.sqrt(sum(x * x for x in q))
+    literal = F.array(*map(F.lit, q))
+    both = F.aggregate(
+        F.zip_with(a, literal, lambda x, y: F.struct(x.cast("double").alias("x"), y.alias("y"))),
+        F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx")),
+        lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx")),
+        lambda s: F.coalesce(s["xy"] / F.nullif(F.sqrt(s["xx"]) * scale, F.lit(0.0)), F.lit(0.0)),
+    )
+    return F.when(a.isNull(), None).when(F.size(a) != len(q), 0.0).otherwise(both)
+
+
 def normalized(a: Column) -> Column:
     """The vector at unit length; a zero vector stays."""
     return F.transform(a, lambda x: F.when(norm(a) > 0, x.cast("double") / norm(a)).otherwise(x.cast("double")))

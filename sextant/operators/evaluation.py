@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -30,10 +30,11 @@ def case_metrics(cases: DataFrame, results: DataFrame, judged: DataFrame, cuts:
     return rows.select("case_id", *columns, F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
-def run_metrics(metrics: DataFrame) -> DataFrame:
-    """One row: each metric's mean over the cases, zeros without any, and n_cases."""
-    names = [c for c in metrics.columns if c != "case_id"]
-    return metrics.agg(F.count("*").alias("n_cases"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias("mrr" if c == "reciprocal_rank" else c) for c in names))
+def run_metrics(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each metric's mean over the cases, zeros without any, and n_cases: one row, or one for each value of `by`."""
+    names = [c for c in metrics.columns if c != "case_id" and c not in by]
+    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias("mrr" if c == "reciprocal_rank" else c) for c in names]
+    return metrics.groupBy(*by).agg(F.count("*").alias("n_cases"), *means)
 
 
 def answer_means(scores: DataFrame, names: tuple[str, ...] = ("faithfulness", "correctness")) -> DataFrame:
@@ -55,6 +56,16 @@ def in_scope(cases: DataFrame, links: DataFrame, chunks: DataFrame, documents: D
     return cases.join(own, "case_id", "left_semi").join(foreign, "case_id", "left_anti")
 
 
+def runs_in_scope(runs: DataFrame, collections: Sequence[str] | None) -> DataFrame:
+    """Runs (config, as JSON) whose recorded collections are a list, not empty, of some of those given; None: all runs.
+    A run without a recorded scope stays hidden."""
+    if collections is None:
+        return runs
+    recorded = F.from_json(F.get_json_object("config", "$.collections"), "array<string>")
+    allowed = F.array(*map(F.lit, collections)).cast("array<string>")
+    return runs.where(F.coalesce((F.size(recorded) > 0) & (F.size(F.array_except(recorded, allowed)) == 0), F.lit(False)))
+
+
 def passes(metrics_row: dict, fail_under: float, metric: str = "recall_at_5") -> bool:
     """A command line's gate."""
     return metrics_row[metric] >= fail_under

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
-from sextant.operators.retrieval import first_of, fuse, ranked, top
+from sextant.operators.components import connected
+from sextant.operators.retrieval import first_of, fuse, ranked, scoped, top
 from sextant.plans.storage import cut
 
 
@@ -20,8 +21,9 @@ from sextant.plans.storage import cut
 
 
 def extract(chunks: DataFrame) -> DataFrame:
-    """chunk_id, name, type of every entity that a chunk (id, text) names, with repeats."""
-    return chunks.select(F.col("id").alias("chunk_id"), F.explode(T.entities_in(F.col("text"))).alias("name")).withColumn("type", T.entity_type(F.col("name")))
+    """chunk_id, name, type of every entity that a chunk (id, text) names, each once a chunk."""
+    found = chunks.select(F.col("id").alias("chunk_id"), F.posexplode(T.entities_in(F.col("text"))).alias("place", "name"))
+    return found.select("chunk_id", "name", T.entity_type(F.col("name"), F.col("place")).alias("type"))
 
 
 def distinct_entities(found: DataFrame, order: Sequence[Column | str]) -> DataFrame:
@@ -81,11 +83,15 @@ def adjacency(relationships: DataFrame) -> DataFrame:
 def expand(start: DataFrame, relationships: DataFrame, depth: int, allowed: DataFrame | None = None) -> DataFrame:
     """id, hop: what the start entities (id) reach within depth hops, with the least hop; the start has hop 0.
 
-    allowed (id) limits the neighbours that may be entered. The frontier is joined a hop at a time, and lineage is cut.
+    allowed (id) limits the neighbours that may be entered. The frontier is joined a hop at a time, and lineage is cut;
+    with more than one hop, the edges are computed once. Repeated edges aren't removed first: what a hop reaches is
+    made distinct, which is less.
     """
-    edges = adjacency(relationships)
+    edges = relationships.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(relationships.select("target_id", "source_id"))
     if allowed is not None:
         edges = edges.join(allowed.select(F.col("id").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+    if depth > 1:
+        edges = cut(edges)
     seen = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -129,15 +135,47 @@ def mention_scores(hops: DataFrame, mentions: DataFrame, decay: float = 1.0) ->
     return rows.groupBy("chunk_id").agg(F.sum(F.lit(0.1) * F.pow(F.lit(float(decay)), F.col("hop"))).alias("score"))
 
 
-def graph_search(entities: DataFrame, mentions: DataFrame, relationships: DataFrame, names: Sequence[str], *, depth: int = 0, decay: float = 0.5) -> DataFrame:
-    """chunk_id, score of chunks near the named entities."""
-    return mention_scores(expand(by_name(entities, names), relationships, depth), mentions, decay)
+def by_normalized_name(entities: DataFrame, names: Sequence[str], collections: Sequence[str] | None = None) -> DataFrame:
+    """Entities whose normalized name is that of one of the names, in the collections (None: anywhere).
+
+    The stored row keeps the spelling that came first, so "two year warranty" finds "Two_Year_Warranty". Names that
+    normalize to nothing find nothing.
+    """
+    if not names:
+        return entities.where(F.lit(False))
+    wanted = F.filter(F.transform(F.array(*map(F.lit, names)), T.normalized_name), lambda n: n != "")
+    return scoped(entities, collections=collections).where(F.array_contains(wanted, T.normalized_name(F.col("name"))))
+
+
+def graph_search(entities: DataFrame, mentions: DataFrame, relationships: DataFrame, names: Sequence[str], *, depth: int = 0, decay: float = 0.5, collections: Sequence[str] | None = None, chunks: DataFrame | None = None, source: str | None = None) -> DataFrame:
+    """chunk_id, score of chunks near the named entities.
+
+    collections limits the entities that are matched and entered; with chunks (id, source), source limits the mentions
+    that count. hydrated() adds the chunks' columns.
+    """
+    allowed = None if collections is None else scoped(entities, collections=collections)
+    if source is not None:
+        if chunks is None:
+            raise ValueError("a source needs the chunks that have it")
+        mentions = mentions.join(scoped(chunks, source=source).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    return mention_scores(expand(by_normalized_name(entities, names, collections), relationships, depth, allowed), mentions, decay)
 
 
-def fused_search(vector_hits: DataFrame, graph_hits: DataFrame, limit: int, k: int = 60, pool: int = 2) -> DataFrame:
-    """RRF of a vector list (id, score) and a graph list (chunk_id, score): pooled, then cut."""
-    graph = graph_hits.withColumnRenamed("chunk_id", "id")
-    return top(fuse([ranked(vector_hits, 0), ranked(graph, 1)], k, limit * pool), limit)
+def hydrated(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (chunk_id, score) with the columns of their chunks (id, ...); hits whose chunk is gone go."""
+    return found.join(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id")
+
+
+def matched_in_source(entities: DataFrame, mentions: DataFrame, chunks: DataFrame, source: str) -> DataFrame:
+    """Entities that a chunk (id, source) of the source names."""
+    own = mentions.join(scoped(chunks, source=source).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    return entities.join(own.select(F.col("entity_id").alias("id")), "id", "left_semi")
+
+
+def fused_search(vector_hits: DataFrame, graph_hits: DataFrame, limit: int, k: int = 60, pool: int | None = None) -> DataFrame:
+    """RRF of a vector list (id, score) and a graph list (chunk_id, score); pool cuts both lists first."""
+    graph = graph_hits.select(F.col("chunk_id").alias("id"), "score")
+    return top(fuse([ranked(vector_hits, 0, most=pool), ranked(graph, 1, most=pool)], k).withColumn("score", F.round("score", 12)), limit)
 
 
 # --- communities ------------------------------------------------------------------------------------------------
@@ -145,14 +183,8 @@ def fused_search(vector_hits: DataFrame, graph_hits: DataFrame, limit: int, k: i
 
 def components(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     """id, community: connected components, named by their smallest id; single entities too."""
-    edges = cut(adjacency(relationships).where("a < b"))
-    names = cut(entities.select("id", F.col("id").alias("community")))
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
-        edges = cut(edges.join(least.select("a", F.col("to").alias("x")), "a").join(least.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        names = cut(names.join(least.withColumnRenamed("a", "community"), "community", "left").select("id", F.coalesce("to", "community").alias("community")))
-    return names
+    found = connected(relationships.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")), lambda df, name: cut(df))
+    return entities.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
 
 
 def label_propagation(edges: DataFrame, entities: DataFrame, rounds: int = 5) -> DataFrame:
@@ -187,13 +219,20 @@ def hierarchy(levels: Sequence[DataFrame]) -> list[DataFrame]:
     return [m for m, _ in out]
 
 
-def top_summaries(communities: DataFrame, entity_ids: Sequence, limit: int = 5) -> DataFrame:
-    """Communities that overlap the entities: most shared first, then the smaller, then by id."""
+def top_summaries(communities: DataFrame, entity_ids: Sequence, limit: int = 5, levels: int | range | Sequence[int] | str | None = None) -> DataFrame:
+    """Communities with a summary that overlap the entities, at the readable levels: most shared first, then the smaller, then by id."""
     wanted = F.array(*map(F.lit, entity_ids))
-    shared = communities.where(F.arrays_overlap("entity_ids", wanted)).withColumn("overlap", F.size(F.array_intersect("entity_ids", wanted)))
+    told = communities.where(F.col("summary").isNotNull() & (F.col("summary") != "") & at_levels(levels))
+    shared = told.where(F.arrays_overlap("entity_ids", wanted)).withColumn("overlap", F.size(F.array_intersect("entity_ids", wanted)))
     return shared.orderBy(F.desc("overlap"), F.size("entity_ids"), "id").limit(limit)
 
 
+def at_levels(levels: int | range | Sequence[int] | str | None) -> Column:
+    """Whether a community's level is readable; None and "all" take every level but null."""
+    wanted = levels_of(levels)
+    return F.col("level").isNotNull() if wanted is None else F.col("level").isin(*wanted)
+
+
 def levels_of(value: int | range | Sequence[int] | None) -> list[int] | None:
     """Readable levels as a list; None or "all" for all."""
     if value is None or value == "all":
@@ -244,7 +283,7 @@ def orphans(entities: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def sweep(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """All tables without the entities in gone (id): edges and mentions cascade, communities are stripped and marked dirty."""
-    ids = gone.select("id").distinct()
+    ids = cut(gone.select("id").distinct())  # every table below asks for them
     without = lambda df, col: df.join(ids.withColumnRenamed("id", col), col, "left_anti")
     out = dict(tables)
     out["entities"] = without(tables["entities"], "id")
@@ -260,16 +299,21 @@ def sweep(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]
     return out
 
 
-def sweep_orphans(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return sweep(tables, orphans(tables["entities"], tables["mentions"]))
+def sweep_orphans(tables: dict[str, DataFrame], collection: str | None = None) -> dict[str, DataFrame]:
+    """Without the collection's entities that nothing mentions: others' orphans stay. None: those without a collection."""
+    return sweep(tables, orphans(tables["entities"].where(F.col("collection").eqNullSafe(F.lit(collection))), tables["mentions"]))
 
 
 def delete_chunks(tables: dict[str, DataFrame], chunk_ids: DataFrame) -> dict[str, DataFrame]:
-    """Without the chunks' mentions, and without the entities that only they named."""
+    """Without the chunks' mentions. Then every orphan of the collections that these touched goes, and of the entities
+    without a collection those that the chunks named and nothing else does."""
     gone = chunk_ids.select("chunk_id").distinct()
-    touched = tables["mentions"].join(gone, "chunk_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
+    touched = tables["entities"].join(tables["mentions"].join(gone, "chunk_id", "left_semi").select(F.col("entity_id").alias("id")), "id", "left_semi").select("id", "collection")
     mentions = tables["mentions"].join(gone, "chunk_id", "left_anti")
-    return sweep(tables | {"mentions": mentions}, orphans(touched, mentions))
+    touched, unnamed = cut(touched), cut(orphans(tables["entities"].select("id", "collection"), mentions))
+    swept = unnamed.join(touched.select("collection").distinct(), "collection", "left_semi").select("id")
+    uncollected = unnamed.where(F.col("collection").isNull()).join(touched.where(F.col("collection").isNull()), "id", "left_semi").select("id")
+    return sweep(tables | {"mentions": mentions}, swept.union(uncollected))
 
 
 def delete_collection(tables: dict[str, DataFrame], collection: str) -> dict[str, DataFrame]:
@@ -338,9 +382,7 @@ def relationships_of(entity_ids: DataFrame, relationships: DataFrame) -> DataFra
 
 def summaries_containing(communities: DataFrame, entity_id: object, levels: int | Sequence[int] | None = None) -> DataFrame:
     """Summaries of the communities that hold the entity, at the readable levels."""
-    wanted = levels_of(levels)
-    rows = communities.where(F.array_contains("entity_ids", F.lit(entity_id)) & F.col("summary").isNotNull())
-    return rows if wanted is None else rows.where(F.col("level").isin(*wanted))
+    return communities.where(F.array_contains("entity_ids", F.lit(entity_id)) & F.col("summary").isNotNull() & at_levels(levels))
 
 
 def detected(entities: DataFrame, relationships: DataFrame, *, rounds: int = 5, min_size: int = 1) -> DataFrame:

@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators.retrieval import prefix_within
+from sextant.plans.storage import cut
 
 
 def attribution(spans: DataFrame, chunks: DataFrame, min_score: float = 0.3) -> DataFrame:
     """span_id, chunk_id, score: the share of a span's distinct words that a chunk holds, at least min_score.
 
-    Words meet by an equi-join, so spans and chunks without a common word never do.
+    A chunk that holds c of a span's n words holds one of any n - c + 1 of them. Spans and chunks meet by the span's rarest
+    ones only, so that no frequent word brings all of them together; the words of those that met are then compared in full.
     """
-    span_words = spans.select("span_id", T.word_set(F.col("text")).alias("w")).where(F.size("w") > 0)
-    left = span_words.select("span_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    right = chunks.select("chunk_id", F.explode(T.word_set(F.col("text"))).alias("word"))
-    both = left.join(right, "word").groupBy("span_id", "chunk_id").agg((F.count("*") / F.max("n")).alias("score"))
-    return both.where(F.col("score") >= min_score)
+    words = chunks.select("chunk_id", T.word_set(F.col("text")).alias("words"))
+    words = cut(words.where(F.size("words") > 0))
+    span_words = cut(spans.select("span_id", T.word_set(F.col("text")).alias("w")).where(F.size("w") > 0))
+    asked = span_words.select("span_id", F.explode("w").alias("word"))
+    counts = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    rarest = asked.join(counts, "word").groupBy("span_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("known"))
+    needed = F.greatest(F.lit(1), F.ceil(F.size("w") * F.lit(float(min_score)) - 1e-9)).cast("int")
+    # Words that no chunk holds come first in the order of rarity; they need no join.
+    prefix = F.size("w") - needed + 1 - (F.size("w") - F.size("known"))
+    few = span_words.join(rarest, "span_id").where(prefix > 0).select("span_id", F.explode(F.slice("known", F.lit(1), prefix)).alias("k")).select("span_id", F.col("k.word").alias("word"))
+    met = words.select("chunk_id", F.explode("words").alias("word")).join(few, "word").select("span_id", "chunk_id").distinct()
+    both = met.join(span_words, "span_id").join(words, "chunk_id")
+    scored = both.select("span_id", "chunk_id", (F.size(F.array_intersect("w", "words")) / F.size("w")).alias("score"))
+    return scored.where(F.col("score") >= min_score)
 
 
 def weighted_score(sentences: DataFrame, group: str = "answer_id") -> DataFrame:
@@ -37,15 +50,15 @@ def judged_score(claims: DataFrame, group: str = "answer_id") -> DataFrame:
     return claims.groupBy(group).agg(F.avg(F.col("supported").cast("double")).alias("score"))
 
 
-def premise_chunks(chunks: DataFrame, budget: int = 5000, most: int = 10) -> DataFrame:
-    """The first chunks by position whose bytes fit the budget."""
-    return prefix_within(chunks, F.octet_length("text"), ["position"], budget, most)
+def premise_chunks(chunks: DataFrame, budget: int = 5000, most: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """The first chunks by position whose bytes fit the budget, of each group or of all."""
+    return prefix_within(chunks, F.octet_length("text"), ["position"], budget, most, by)
 
 
-def premise(chunks: DataFrame) -> DataFrame:
-    """One row: the chunks' texts, a line each, by position."""
+def premise(chunks: DataFrame, by: Sequence[str] = (), budget: int = 5000, most: int = 10) -> DataFrame:
+    """The texts of premise_chunks(), a line each, by position: one row, or one for each group."""
     listed = F.array_sort(F.collect_list(F.struct("position", "text")))
-    return chunks.agg(F.array_join(F.transform(listed, lambda s: s["text"]), "\n").alias("premise"))
+    return premise_chunks(chunks, budget, most, by).groupBy(*by).agg(F.array_join(F.transform(listed, lambda s: s["text"]), "\n").alias("premise"))
 
 
 def split_spans(sentences: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -93,10 +93,15 @@ def chunk_text(text: str, how: Chunking = Chunking()) -> list[tuple[int, str, in
     if held:
         spans.append((start, at))
     out = []
+    known, first = 0, 0  # a character and its byte offset; the next chunk is counted from there
     for a, b in spans:
         for part in _within(text[a:b], how.max_chunk_chars) if how.max_chunk_chars else (text[a:b],):
+            if a < known:
+                first -= len(text[a:known].encode("utf-8", "replace"))
+            else:
+                first += len(text[known:a].encode("utf-8", "replace"))
+            known = a
             if part.strip():
-                first = len(text[:a].encode("utf-8", "replace"))
                 out.append((len(out), part, max(1, len(part) // how.chars_per_token), first, first + len(part.encode("utf-8", "replace"))))
             a += len(part)
     return out

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import vector as V
+from sextant.plans.storage import cut
 
 RRF_K, POOL, FLOOR = 60, 2, 0.05
 
@@ -39,8 +40,7 @@ def scoped(rows: DataFrame, *, collections: Sequence[str] | None = None, source:
 
 def vector_scores(chunks: DataFrame, query: Sequence[float], vector_col: str = "embedding") -> DataFrame:
     """Adds score, the cosine similarity with one query vector; rows without a vector go."""
-    literal = F.array(*(F.lit(float(x)) for x in query))
-    return chunks.where(F.col(vector_col).isNotNull()).withColumn("score", V.cosine(F.col(vector_col), literal))
+    return chunks.where(F.col(vector_col).isNotNull()).withColumn("score", V.cosine_to(F.col(vector_col), list(query)))
 
 
 def vector_topk(chunks: DataFrame, query: Sequence[float], k: int = 10, threshold: float = 0.0, vector_col: str = "embedding") -> DataFrame:
@@ -48,45 +48,67 @@ def vector_topk(chunks: DataFrame, query: Sequence[float], k: int = 10, threshol
     return top(vector_scores(chunks, query, vector_col).where(F.col("score") > threshold), k)
 
 
-def vector_batch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float | None = 0.0, exclude_self: bool = False) -> DataFrame:
-    """query_id, id, score, rank: the k best chunks (id, embedding) of each of a bounded set of queries (query_id, query)."""
-    pairs = chunks.select("id", "embedding").join(F.broadcast(queries), F.col("id") != F.col("query_id") if exclude_self else F.lit(True))
-    scored = pairs.select("query_id", "id", V.cosine(F.col("embedding"), F.col("query")).alias("score"))
-    return top_per(scored if threshold is None else scored.where(F.col("score") > threshold), k)
+def _dealt(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with columns c and q: every pair of a left and a right block, of at most about `block` rows, meets once.
 
-
-def vector_join(chunks: DataFrame, queries: DataFrame, k: int, threshold: float | None = 0.0, exclude_self: bool = False, block: int = 1024) -> DataFrame:
-    """As vector_batch, for queries without a bound: chunks and queries meet block by block, each block pair in one task.
-
-    Rows without a vector go. Sums run in the order of vector.cosine, so that scores and ties are the same.
+    Small left sides are cut finer, so that all cores have work; the right side is copied once for each left block.
+    """
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    n, rows = max(1, -(-right.count() // block)), left.count()
+    m = max(1, -(-rows // block), min(-(-cores // n), rows // 64))
+    spread = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    right = right.withColumn("c", spread(right_id, n)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = left.withColumn("q", spread(left_id, m)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return left, right
+
+
+def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as a matrix, padded with zeros, their lengths and their norms, summed in vector.cosine's order."""
+    lengths = vectors.map(len).to_numpy()
+    x = np.zeros((len(vectors), max([0, *lengths])))
+    for i, v in enumerate(vectors):
+        x[i, : len(v)] = v
+    squares = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        squares += x[:, d] * x[:, d]
+    return x, lengths, np.sqrt(squares)
+
+
+def _cosines(a: tuple, b: tuple, rows: slice) -> np.ndarray:
+    """Cosines of some rows of a with all of b; 0 for other lengths and zero vectors."""
+    (x, n, p), (y, m, q) = (a[0][rows], a[1][rows], a[2][rows]), b
+    score = np.zeros((len(x), len(y)))
+    for d in range(min(x.shape[1], y.shape[1])):
+        score += x[:, d, None] * y[None, :, d]
+    scale = p[:, None] * q[None, :]
+    return np.divide(score, scale, out=np.zeros_like(score), where=(scale != 0) & (n[:, None] == m[None, :]))
+
+
+def vector_batch(chunks: DataFrame, queries: DataFrame, k: int, threshold: float | None = 0.0, exclude_self: bool = False, block: int = 8192) -> DataFrame:
+    """query_id, id, score, rank: the k best chunks (id, embedding) of each query (query_id, query), however many there are.
+
+    Chunks and queries meet block by block, each pair of blocks in one task. Rows without a vector go. Sums run in the order
+    of vector.cosine, so that scores and ties are the same.
     """
     kinds = dict(chunks.dtypes)["id"], dict(queries.dtypes)["query_id"]
     right = chunks.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v"))
     left = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").cast("array<double>").alias("v"))
-    n, m = max(1, -(-right.count() // block)), max(1, -(-left.count() // block))
-    spread = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
-    right = right.withColumn("c", spread("id", n)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = left.withColumn("q", spread("query_id", m)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left, right = _dealt(left, right, "query_id", "id", block)
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id", kind="stable")
-        lengths = [t["v"].map(len).to_numpy() for t in (a, b)]
-        width = max([0, *lengths[0], *lengths[1]])
-        x, y = (np.array([np.pad(v, (0, width - len(v))) for v in t["v"]], np.float64).reshape(len(t), width) for t in (a, b))
-        score, p, q = np.zeros((len(a), len(b))), np.zeros(len(a)), np.zeros(len(b))
-        for d in range(width):
-            score += x[:, d, None] * y[None, :, d]
-            p += x[:, d] * x[:, d]
-            q += y[:, d] * y[:, d]
-        scale = np.sqrt(p)[:, None] * np.sqrt(q)[None, :]
-        score = np.divide(score, scale, out=np.zeros_like(score), where=(scale != 0) & (lengths[0][:, None] == lengths[1][None, :]))
-        use = a["query_id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :] if exclude_self else np.ones(score.shape, bool)
-        use &= True if threshold is None else score > threshold
-        at = np.argsort(np.where(use, -score, np.inf), axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(a)), at.shape[1])
-        keep = use[row, at.ravel()]
-        row, col = row[keep], at.ravel()[keep]
-        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[row], "id": b["id"].to_numpy()[col], "score": score[row, col]})
+        own, other, found = _matrix(a["v"]), _matrix(b["v"]), []
+        for begin in range(0, len(a), 256) if len(b) else ():
+            rows = slice(begin, begin + 256)
+            score, asked = _cosines(own, other, rows), a["query_id"].to_numpy()[rows]
+            use = asked[:, None] != b["id"].to_numpy()[None, :] if exclude_self else np.ones(score.shape, bool)
+            use &= True if threshold is None else score > threshold
+            at = np.argsort(np.where(use, -score, np.inf), axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(asked)), at.shape[1])
+            keep = use[row, at.ravel()]
+            row, col = row[keep], at.ravel()[keep]
+            found.append(pd.DataFrame({"query_id": asked[row], "id": b["id"].to_numpy()[col], "score": score[row, col]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
     found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(meet, f"query_id {kinds[1]}, id {kinds[0]}, score double")
     return top_per(found, k)
@@ -109,12 +131,15 @@ def gated(tokens: Column, terms: Column) -> Column:
 
 
 def hybrid_scores(chunks: DataFrame, query: Sequence[float], terms: Column, *, vector_weight: float = 0.5, keyword_weight: float = 0.5, floor: float = FLOOR, tokens_col: str = "tokens") -> DataFrame:
-    """Adds vector_score, keyword_score (of gated rows, over the greater of the best and the floor) and score, their blend."""
+    """id, vector_score, keyword_score (of gated rows, over the greater of the best and the floor) and score, their blend.
+
+    Texts and vectors are read once: what both scores need of a row is kept as three numbers, and the greatest keyword score
+    and the blend come from those.
+    """
     if not 0 <= floor <= 1:
         raise ValueError("the floor must lie between 0 and 1")
-    rows = vector_scores(chunks, query).withColumnRenamed("score", "vector_score")
     raw = F.when(gated(F.col(tokens_col), terms), overlap_score(F.col(tokens_col), terms)).otherwise(0.0)
-    rows = rows.withColumn("raw_keyword", raw)
+    rows = cut(vector_scores(chunks, query).select("id", F.col("score").alias("vector_score"), raw.alias("raw_keyword")))
     bounds = rows.agg(F.max("raw_keyword").alias("most"))  # one row
     scale = F.nullif(F.greatest("most", F.lit(float(floor))), F.lit(0.0))
     rows = rows.crossJoin(F.broadcast(bounds)).withColumn("keyword_score", F.coalesce(F.col("raw_keyword") / scale, F.lit(0.0)))
@@ -122,12 +147,30 @@ def hybrid_scores(chunks: DataFrame, query: Sequence[float], terms: Column, *, v
 
 
 def hybrid_topk(chunks: DataFrame, query: Sequence[float], terms: Column, k: int = 10, threshold: float = 0.0, **options) -> DataFrame:
+    """The k best of hybrid_scores() above the threshold; the chunks' other columns can be joined to so few rows."""
     return top(hybrid_scores(chunks, query, terms, **options).where(F.col("score") > threshold), k)
 
 
-def ranked(rows: DataFrame, list_id: int, by: str = "score") -> DataFrame:
-    """id, list_id and rank of a bounded list of results."""
-    return rows.select("id", F.lit(list_id).alias("list_id"), F.row_number().over(Window.orderBy(F.desc(by), "id")).alias("rank"))
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Adds each row's number, from 1 on, in the order over all rows, without bringing them into one task.
+
+    Rows are sorted over all partitions and kept; a row's number is its place in its partition after the partitions before,
+    whose sizes are one small row each.
+    """
+    part, place = f"__part_{name}", f"__place_{name}"
+    kept = cut(rows.orderBy(*order).withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = kept.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(part, F.coalesce(before, F.lit(0)).alias("__before"))
+    return kept.join(F.broadcast(offsets), part).withColumn(name, (F.col("__before") + F.col(place) + 1).cast("int")).drop(part, place, "__before")
+
+
+def ranked(rows: DataFrame, list_id: int, by: str = "score", most: int | None = None) -> DataFrame:
+    """id, list_id and rank of a list of results; of at most `most` rows in one window, else by numbered()."""
+    slim = rows.select("id", F.lit(list_id).alias("list_id"), by)
+    if most is not None:
+        return top(slim, most, by).select("id", "list_id", F.row_number().over(Window.orderBy(F.desc(by), "id")).alias("rank"))
+    return numbered(slim, [F.desc(by), "id"], "rank").select("id", "list_id", "rank")
 
 
 def fuse(lists: Sequence[DataFrame], k: int = RRF_K, limit: int | None = None) -> DataFrame:
@@ -146,8 +189,7 @@ def merge_collections(lists: Sequence[DataFrame], k: int) -> DataFrame:
 def concat_rank(lists: Sequence[DataFrame]) -> DataFrame:
     """Adds position: lists one after the other, each in its own order, not sorted again."""
     named = [x.withColumn("list_no", F.lit(i)) for i, x in enumerate(lists)]
-    order = Window.orderBy("list_no", F.desc("score"), "id")
-    return reduce(DataFrame.unionByName, named).withColumn("position", F.row_number().over(order))
+    return numbered(reduce(DataFrame.unionByName, named), ["list_no", F.desc("score"), "id"], "position")
 
 
 def rerank(rows: DataFrame, scorer: Callable[[DataFrame], Column], *, threshold: float | None = None, top_k: int | None = None, top_k_overrides: bool = False) -> DataFrame:
@@ -162,17 +204,35 @@ def over_fetched(limit: int, factor: int = 3) -> int:
     return limit * factor
 
 
-def max_sim(query_vectors: DataFrame, token_vectors: DataFrame) -> DataFrame:
-    """id, score: for each of a bounded set of query token vectors (token, query) the best match among a text's vectors (id, embedding), added up."""
-    pairs = token_vectors.join(F.broadcast(query_vectors))
-    best = pairs.groupBy("id", "token").agg(F.max(V.cosine(F.col("embedding"), F.col("query"))).alias("sim"))
-    return best.groupBy("id").agg(F.sum("sim").alias("score"))
+def max_sim(query_vectors: DataFrame, token_vectors: DataFrame, block: int = 8192) -> DataFrame:
+    """query_id, id, score: for each of a query's token vectors (query_id, token, query) the best match among a text's vectors
+    (id, embedding), added up. Blocks meet as in vector_batch(); a pair of blocks gives the best of each token and text."""
+    kinds = {**dict(query_vectors.dtypes), **{f"text_{k}": v for k, v in token_vectors.dtypes}}
+    left = query_vectors.where(F.col("query").isNotNull()).select("query_id", "token", F.col("query").cast("array<double>").alias("v"))
+    right = token_vectors.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v"))
+    left, right = _dealt(left, right, "token", "v", block)
 
-
-def positional_scores(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id", kind="stable")
+        own, other, found = _matrix(a["v"]), _matrix(b["v"]), []
+        ids, first = np.unique(b["id"].to_numpy(), return_index=True)
+        for begin in range(0, len(a), 256) if len(b) else ():
+            rows = slice(begin, begin + 256)
+            best = np.maximum.reduceat(_cosines(own, other, rows), first, axis=1)
+            asked, token = a["query_id"].to_numpy()[rows], a["token"].to_numpy()[rows]
+            found.append(pd.DataFrame({"query_id": np.repeat(asked, len(ids)), "token": np.repeat(token, len(ids)), "id": np.tile(ids, len(asked)), "sim": best.ravel()}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "token": [], "id": [], "sim": []})
+
+    schema = f"query_id {kinds['query_id']}, token {kinds['token']}, id {kinds['text_id']}, sim double"
+    pairs = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(meet, schema)
+    best = pairs.groupBy("query_id", "id", "token").agg(F.max("sim").alias("sim"))
+    return best.groupBy("query_id", "id").agg(F.sum("sim").alias("score"))
+
+
+def positional_scores(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Adds positional: the number of rows for the first, one less for each that follows."""
-    n = F.count("*").over(Window.partitionBy())
-    return rows.withColumn("positional", n - F.row_number().over(Window.orderBy(*order)) + 1)
+    placed = numbered(rows, order, "__n")
+    return placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("__all")))).withColumn("positional", F.col("__all") - F.col("__n") + 1).drop("__n", "__all")
 
 
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -191,11 +251,13 @@ def by_document(hits: DataFrame) -> DataFrame:
     return hits.groupBy("document_id").agg(F.max("score").alias("best"), F.count("*").alias("n")).orderBy(F.desc("best"), "document_id")
 
 
-def prefix_within(rows: DataFrame, size: Column, order: Sequence[Column | str], budget: int, most: int) -> DataFrame:
-    """The longest prefix of at most `most` rows whose sizes, two more each, stay within the budget."""
-    w = Window.orderBy(*order)
-    run = rows.withColumn("__sum", F.sum(size + 2).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(w))
-    return run.where((F.col("__sum") <= budget) & (F.col("__n") <= most)).drop("__sum", "__n")
+def prefix_within(rows: DataFrame, size: Column, order: Sequence[Column | str], budget: int, most: int, by: Sequence[str] = ()) -> DataFrame:
+    """Of each group (or of all rows, which should then be few) the longest prefix of at most `most` rows whose sizes, two
+    more each, stay within the budget."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    first = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)  # the window keeps no more of a group
+    run = first.withColumn("__sum", F.sum(size + 2).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.where(F.col("__sum") <= budget).drop("__sum", "__n")
 
 
 def lsh_topk(chunks: DataFrame, query: Sequence[float], k: int, *, tables: int = 8, width: float = 0.8, seed: int = 3) -> DataFrame:

@@ -19,7 +19,9 @@ MENTIONS = "ments AS (SELECT DISTINCT 'p' || l_partkey AS entity_id, l_orderkey
 BASE = f"WITH RECURSIVE {ENTITIES}, {RELS}, {MENTIONS}"
 ADJ = "adj AS (SELECT DISTINCT a, b FROM (SELECT source_id AS a, target_id AS b FROM rels UNION ALL SELECT target_id, source_id FROM rels) WHERE a <> b)"
 KEY = r"trim(regexp_replace(regexp_replace(lower(name), '[_-]+', ' ', 'g'), '[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"
-FOUND = "found AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS name FROM documents)"
+# The extractor's rules: a run of capitalized words between word boundaries, each once a text, numbered by first place.
+RUN = r"'\b[A-Z][a-z]+(?:[ \t\n\r\f\v]+[A-Z][a-z]+)*\b'"
+FOUND = f"runs AS (SELECT doc_id AS chunk_id, regexp_extract_all(text, {RUN}) AS every FROM documents), numbered AS (SELECT chunk_id, unnest(every) AS name, unnest(range(len(every))) AS n FROM runs), firsts AS (SELECT chunk_id, name, min(n) AS n FROM numbered GROUP BY ALL), found AS (SELECT chunk_id, name, row_number() OVER (PARTITION BY chunk_id ORDER BY n) - 1 AS place FROM firsts)"
 START = ("n1", "n3")
 
 
@@ -35,9 +37,9 @@ def _graph(spark, sf):
     return {"entities": views.entities(spark, sf), "relationships": views.relationships(spark, sf), "mentions": views.mentions(spark, sf)}
 
 
-@register("entity_extract_regex", f"WITH {FOUND} SELECT chunk_id, name, CASE WHEN contains(name, ' ') THEN 'person' ELSE 'concept' END AS type, count(*) AS n FROM found GROUP BY ALL")
+@register("entity_extract_regex", f"WITH {FOUND} SELECT chunk_id, name, CASE WHEN contains(name, ' ') THEN 'person' WHEN place = 0 THEN 'organization' ELSE 'concept' END AS type FROM found")
 def entity_extract_regex(spark, sf):
-    return G.extract(views.documents(spark, sf)).groupBy("chunk_id", "name", "type").agg(F.count("*").alias("n"))
+    return G.extract(views.documents(spark, sf))
 
 
 @register("entity_normalize_dedup", f"WITH {FOUND}, k AS (SELECT *, {KEY} AS name_key FROM found) SELECT name_key, min(chunk_id) AS chunk_id FROM k WHERE name_key <> '' GROUP BY name_key")
@@ -82,16 +84,11 @@ def relationship_list_strength(spark, sf):
     return views.relationships(spark, sf).groupBy("type", G.strength_bucket(F.col("strength")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@register("relationship_detail", f"{BASE} SELECT r.source_id, r.target_id, a.name AS source_name, b.name AS target_name FROM rels r JOIN ents a ON a.id = r.source_id JOIN ents b ON b.id = r.target_id WHERE r.type <> 'SUPPLIES' AND (a.name ILIKE '%1%' OR b.name ILIKE '%1%' OR r.type ILIKE '%part%')")
+@register("relationship_detail", f"{BASE} SELECT r.source_id, r.target_id, r.type, a.name AS source_name, b.name AS target_name, a.name ILIKE '%1%' OR b.name ILIKE '%1%' OR r.type ILIKE '%part%' AS matches FROM rels r JOIN ents a ON a.id = r.source_id JOIN ents b ON b.id = r.target_id")
 def relationship_detail(spark, sf):
-    rows = views.relationships(spark, sf).where("type <> 'SUPPLIES'")
     like = lambda c, x: F.ilike(c, F.lit(x))
-    return G.detailed(rows, views.entities(spark, sf)).where(like("source_name", "%1%") | like("target_name", "%1%") | like("type", "%part%")).select("source_id", "target_id", "source_name", "target_name")
-
-
-@register("relationship_detail_all", f"{BASE} SELECT r.source_id, r.target_id, r.type, a.name AS source_name, b.name AS target_name FROM rels r JOIN ents a ON a.id = r.source_id JOIN ents b ON b.id = r.target_id")
-def relationship_detail_all(spark, sf):
-    return G.detailed(views.relationships(spark, sf), views.entities(spark, sf)).select("source_id", "target_id", "type", "source_name", "target_name")
+    matches = like("source_name", "%1%") | like("target_name", "%1%") | like("type", "%part%")
+    return G.detailed(views.relationships(spark, sf), views.entities(spark, sf)).select("source_id", "target_id", "type", "source_name", "target_name", matches.alias("matches"))
 
 
 @register("entity_type_histogram", f"{BASE} SELECT type, count(*) AS n FROM ents GROUP BY type")
@@ -138,7 +135,7 @@ def related_including_start(spark, sf):
 @register("graph_search_chunks", f"{BASE}, {ADJ}, {_walk(1, start='SELECT id FROM ents WHERE lower(name) = ' + chr(39) + 'supplier#000000003' + chr(39))} SELECT DISTINCT chunk_id FROM ments JOIN hops ON hops.id = ments.entity_id")
 def graph_search_chunks(spark, sf):
     g = _graph(spark, sf)
-    return G.chunks_of(G.expand(G.by_name(g["entities"], ["supplier#000000003"]), g["relationships"], 1), g["mentions"])
+    return G.chunks_of(G.expand(G.by_normalized_name(g["entities"], ["supplier#000000003"]), g["relationships"], 1), g["mentions"])
 
 
 @register("mention_score", f"{BASE} SELECT chunk_id, round(count(*) * 0.1::DOUBLE, 6) AS score FROM ments WHERE entity_id IN (SELECT id FROM ents WHERE name LIKE 'small%' AND type = 'part') GROUP BY chunk_id")
@@ -161,23 +158,13 @@ _GRAPH_LIST = f"{_walk(1, start='SELECT id FROM ents WHERE id = ' + chr(39) + 's
 def graph_rrf_search(spark, sf):
     g = _graph(spark, sf)
     near = R.vector_topk(views.vectors(spark, sf), views.vector(spark, sf), 20, threshold=-2.0)
-    linked = G.graph_search(g["entities"], g["mentions"], g["relationships"], ["Supplier#000000003"], depth=1).withColumn("score", F.round("score", 6)).withColumnRenamed("chunk_id", "id")
-    fused = R.fuse([R.ranked(near, 0), R.ranked(linked, 1)]).withColumn("score", F.round("score", 12))
-    return R.top(fused, 10).select("id", F.round("score", 9).alias("score"))
-
+    linked = G.graph_search(g["entities"], g["mentions"], g["relationships"], ["Supplier#000000003"], depth=1).withColumn("score", F.round("score", 6))
+    return G.fused_search(near, linked, 10).select("id", F.round("score", 9).alias("score"))
 
-_PLACES_ONLY = "place_rels AS (SELECT * FROM rels WHERE type <> 'SUPPLIES'), padj AS (SELECT source_id AS a, target_id AS b FROM place_rels UNION SELECT target_id, source_id FROM place_rels)"
 
-
-@register("community_connected_components", f"{BASE}, {_PLACES_ONLY}, reach AS (SELECT id, id AS other FROM ents WHERE type <> 'part' UNION SELECT reach.id, padj.b FROM reach JOIN padj ON padj.a = reach.other) SELECT id, min(other) AS community FROM reach GROUP BY id")
+@register("community_connected_components")
 def community_connected_components(spark, sf):
-    rels = views.relationships(spark, sf).where("type <> 'SUPPLIES'")
-    return G.components(rels, views.entities(spark, sf).where("type <> 'part'"))
-
-
-@register("community_connected_components_all")
-def community_connected_components_all(spark, sf):
-    """Over all relationships and entities; the recursive SQL above is too slow for them."""
+    """Over all relationships and entities. Recursive SQL is too slow for them: a test compares with union-find."""
     return G.components(views.relationships(spark, sf), views.entities(spark, sf))
 
 
@@ -208,9 +195,9 @@ _SEEDS = [f"s{i}" for i in range(12)]
 _SEED_SQL = "[" + ", ".join(f"'{s}'" for s in _SEEDS) + "]"
 
 
-@register("community_summary_topk", f"{ALL} SELECT id, len(list_intersect(entity_ids, {_SEED_SQL})) AS overlap, len(entity_ids) AS size FROM comms WHERE list_has_any(entity_ids, {_SEED_SQL}) ORDER BY overlap DESC, size, id LIMIT 5")
+@register("community_summary_topk", f"{ALL} SELECT id, len(list_intersect(entity_ids, {_SEED_SQL})) AS overlap, len(entity_ids) AS size FROM comms WHERE list_has_any(entity_ids, {_SEED_SQL}) AND summary IS NOT NULL AND summary <> '' AND level IN (0, 1) ORDER BY overlap DESC, size, id LIMIT 5")
 def community_summary_topk(spark, sf):
-    return G.top_summaries(views.region_communities(spark, sf), _SEEDS).select("id", F.col("overlap").cast("long").alias("overlap"), F.size("entity_ids").cast("long").alias("size"))
+    return G.top_summaries(views.region_communities(spark, sf), _SEEDS, levels=[0, 1]).select("id", F.col("overlap").cast("long").alias("overlap"), F.size("entity_ids").cast("long").alias("size"))
 
 
 @register("community_contains_entity", f"{ALL} SELECT id, level FROM comms WHERE list_contains(entity_ids, 's7')")
@@ -249,10 +236,54 @@ def sweep_result(spark, sf):
     return one("entities").union(one("relationships"))
 
 
-@register("delete_by_chunks_result", f"{BASE}, dead AS (SELECT o_orderkey AS chunk_id FROM orders WHERE o_orderkey % 10 <> 1), kept AS (SELECT * FROM ments WHERE chunk_id NOT IN (SELECT chunk_id FROM dead)), touched AS (SELECT DISTINCT entity_id AS id FROM ments WHERE chunk_id IN (SELECT chunk_id FROM dead)) SELECT id FROM ents WHERE id NOT IN (SELECT id FROM touched WHERE id NOT IN (SELECT entity_id FROM kept))")
+# Suppliers are named by orders too: their collections are what a deletion sweeps.
+_NAMED = "named AS (SELECT * FROM ments UNION ALL SELECT DISTINCT 's' || l_suppkey, l_orderkey FROM lineitem), dead AS (SELECT o_orderkey AS chunk_id FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority <> '1-URGENT'), hit AS (SELECT DISTINCT entity_id AS id FROM named WHERE chunk_id IN (SELECT chunk_id FROM dead)), kept AS (SELECT DISTINCT entity_id AS id FROM named WHERE chunk_id NOT IN (SELECT chunk_id FROM dead)), swept AS (SELECT id FROM ents WHERE id NOT IN (SELECT id FROM kept) AND (collection IN (SELECT collection FROM ents WHERE id IN (SELECT id FROM hit) AND collection IS NOT NULL) OR collection IS NULL AND id IN (SELECT id FROM hit)))"
+
+
+def _named(spark, sf):
+    """The graph with mentions of parts and of suppliers, and the orders that go."""
+    line = views.table(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("entity_id"), F.col("l_orderkey").alias("chunk_id")).distinct()
+    dead = views.table(spark, sf, "orders").where("o_orderstatus <> 'P' OR o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("chunk_id"))
+    g = _graph(spark, sf)
+    return g | {"mentions": g["mentions"].unionByName(line)}, dead
+
+
+@register("delete_by_chunks_result", f"{BASE}, {_NAMED} SELECT id FROM ents WHERE id NOT IN (SELECT id FROM swept)")
 def delete_by_chunks_result(spark, sf):
-    dead = views.table(spark, sf, "orders").where("o_orderkey % 10 <> 1").select(F.col("o_orderkey").alias("chunk_id"))
-    return G.delete_chunks(_graph(spark, sf), dead)["entities"].select("id")
+    return G.delete_chunks(*_named(spark, sf))["entities"].select("id")
+
+
+@register("delete_by_chunks_edges", f"{BASE}, {_NAMED} SELECT source_id, target_id FROM rels WHERE source_id NOT IN (SELECT id FROM swept) AND target_id NOT IN (SELECT id FROM swept)")
+def delete_by_chunks_edges(spark, sf):
+    return G.delete_chunks(*_named(spark, sf))["relationships"].select("source_id", "target_id")
+
+
+@register("sweep_orphans_of_collection", f"{BASE} SELECT id FROM ents WHERE NOT (coalesce(collection = 'ASIA', false) AND id NOT IN (SELECT entity_id FROM ments))")
+def sweep_orphans_of_collection(spark, sf):
+    return G.sweep_orphans(_graph(spark, sf), "ASIA")["entities"].select("id")
+
+
+@register("entities_by_normalized_name", f"{BASE} SELECT id FROM ents WHERE {KEY} IN ('united states', 'middle east', 'france') AND collection IN ('AMERICA', 'MIDDLE EAST')")
+def entities_by_normalized_name(spark, sf):
+    return G.by_normalized_name(views.entities(spark, sf), ["United_States", " middle-east ", "FRANCE"], ["AMERICA", "MIDDLE EAST"]).select("id")
+
+
+_SCOPED = "FROM ments JOIN hops ON hops.id = ments.entity_id JOIN orders ON o_orderkey = chunk_id WHERE o_orderpriority = '1-URGENT'"
+
+
+@register("graph_search_scoped", f"{BASE}, {ADJ}, {_walk(1, start='SELECT id FROM ents WHERE id = ' + chr(39) + 's3' + chr(39))} SELECT chunk_id, any_value(o_orderstatus) AS status, round(sum(0.1::DOUBLE * pow(0.5::DOUBLE, hop)), 6) AS score {_SCOPED} GROUP BY chunk_id")
+def graph_search_scoped(spark, sf):
+    """Mentions from one source only, with the columns of the chunks that were found."""
+    g = _graph(spark, sf)
+    chunks = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("status"))
+    found = G.graph_search(g["entities"], g["mentions"], g["relationships"], ["Supplier#000000003"], depth=1, chunks=chunks, source="1-URGENT")
+    return G.hydrated(found, chunks).select("chunk_id", "status", F.round("score", 6).alias("score"))
+
+
+@register("entities_of_source", f"{BASE} SELECT id FROM ents WHERE id IN (SELECT entity_id FROM ments JOIN orders ON o_orderkey = chunk_id WHERE o_orderpriority = '1-URGENT')")
+def entities_of_source(spark, sf):
+    chunks = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"))
+    return G.matched_in_source(views.entities(spark, sf), views.mentions(spark, sf), chunks, "1-URGENT").select("id")
 
 
 @register("delete_by_collection_result", f"{BASE} SELECT r.source_id, r.target_id FROM rels r WHERE NOT EXISTS (SELECT 1 FROM ents e WHERE e.collection = 'ASIA' AND e.id IN (r.source_id, r.target_id))")

@@ -54,22 +54,19 @@ def vector_threshold_strict(spark, sf):
     return _out(_scored(spark, sf).where("score > 0.2"))
 
 
-@register("vector_batch_topk", "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p WHERE s > 0) SELECT query_id, id, round(s, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5")
-def vector_batch_topk(spark, sf):
-    found = R.vector_batch(views.vectors(spark, sf), views.questions(spark, sf, 10).select("query_id", "query"), 5, exclude_self=True)
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+_PAIRS = "p AS (SELECT a.vec_id AS query_id, a.label AS query_label, b.vec_id AS id, a.label = b.label AS rel, list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
 
 
-@register("vector_batch_topk_all")
-def vector_batch_topk_all(spark, sf):
-    found = R.vector_join(views.vectors(spark, sf), views.questions(spark, sf, None).select("query_id", "query"), 5, exclude_self=True)
+@register("vector_batch_topk", f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p WHERE s > 0) SELECT query_id, id, round(s, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5")
+def vector_batch_topk(spark, sf):
+    found = R.vector_batch(views.vectors(spark, sf), views.questions(spark, sf), 5, exclude_self=True)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@register("knn_self_join")
+@register("knn_self_join", f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p) SELECT query_id, id, round(s, 6) AS score FROM r WHERE rank = 1")
 def knn_self_join(spark, sf):
     """Each vector's nearest other."""
-    found = R.vector_join(views.vectors(spark, sf), views.questions(spark, sf, None).select("query_id", "query"), 1, threshold=None, exclude_self=True)
+    found = R.vector_batch(views.vectors(spark, sf), views.questions(spark, sf), 1, threshold=None, exclude_self=True)
     return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -124,11 +121,11 @@ _KEYS = f"kw AS (SELECT id, len(list_intersect(k, {LIST}))::DOUBLE / 3 / ln(grea
 
 def _vector_list(spark, sf, no, collection=None, k=20):
     rows = R.scoped(views.chunks(spark, sf), collections=collection)
-    return R.ranked(R.vector_topk(rows, views.vector(spark, sf), k), no)
+    return R.ranked(R.vector_topk(rows, views.vector(spark, sf), k), no, most=k)
 
 
 def _keyword_list(spark, sf, no, k=20):
-    return R.ranked(R.keyword_topk(views.with_tokens(views.chunks(spark, sf)), views.terms(*WORDS), k), no)
+    return R.ranked(R.keyword_topk(views.with_tokens(views.chunks(spark, sf)), views.terms(*WORDS), k), no, most=k)
 
 
 def _fuse_sql(*lists: str) -> str:
@@ -205,19 +202,21 @@ def rerank_keep_relevant(spark, sf):
     return R.rerank(_pool(spark, sf), _judge, threshold=7).select("id", "rerank_score")
 
 
-@register("maxsim", "WITH q AS (SELECT vec_id AS token, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 3), p AS (SELECT label AS id, token, max(list_cosine_similarity(embedding::DOUBLE[], qv)) AS m FROM embeddings, q GROUP BY ALL) SELECT id, round(sum(m), 6) AS score FROM p GROUP BY id")
+@register("maxsim", "WITH p AS (SELECT q.label AS query_id, q.vec_id AS token, t.label AS id, max(list_cosine_similarity(t.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS m FROM embeddings t, embeddings q GROUP BY ALL) SELECT query_id, id, round(sum(m), 6) AS score FROM p GROUP BY query_id, id")
 def maxsim(spark, sf):
-    tokens = views.vectors(spark, sf).select(F.col("label").alias("id"), "embedding")
-    queries = views.questions(spark, sf, 3).select(F.col("query_id").alias("token"), "query")
-    return _out(R.max_sim(queries, tokens))
+    """Every label's vectors as the token vectors of a query and of a text."""
+    tokens = views.vectors(spark, sf)
+    queries = tokens.select(F.col("label").alias("query_id"), F.col("id").alias("token"), F.col("embedding").alias("query"))
+    found = R.max_sim(queries, tokens.select(F.col("label").alias("id"), "embedding"))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-_EVAL = "WITH p AS (SELECT a.vec_id AS case_id, b.vec_id AS id, a.label = b.label AS rel, list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, id) AS rank FROM p), n AS (SELECT case_id, count(*) FILTER (rel) AS n FROM p GROUP BY case_id), h AS (SELECT r.case_id, any_value(n) AS n, " + ", ".join(f"count(*) FILTER (rel AND rank <= {k}) AS h{k}" for k in E.CUTS) + ", min(rank) FILTER (rel AND rank <= 10) AS first FROM r JOIN n USING (case_id) GROUP BY r.case_id)"
+_EVAL = f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p), h AS (SELECT query_id AS case_id, query_label, count(*) FILTER (rel) AS n, " + ", ".join(f"count(*) FILTER (rel AND rank <= {k}) AS h{k}" for k in E.CUTS) + ", min(rank) FILTER (rel AND rank <= 10) AS first FROM r GROUP BY query_id, query_label)"
 
 
-def _cases(spark, sf, n: int | None = 20):
-    q = views.questions(spark, sf, n)
-    results = (R.vector_join if n is None else R.vector_batch)(views.vectors(spark, sf), q.select("query_id", "query"), 10, threshold=None, exclude_self=True).select(F.col("query_id").alias("case_id"), "id", "rank")
+def _cases(spark, sf):
+    q = views.questions(spark, sf)
+    results = R.vector_batch(views.vectors(spark, sf), q, 10, threshold=None, exclude_self=True).select(F.col("query_id").alias("case_id"), "id", "rank")
     judged = q.join(views.vectors(spark, sf), (F.col("label") == F.col("query_label")) & (F.col("id") != F.col("query_id"))).select(F.col("query_id").alias("case_id"), "id")
     return E.case_metrics(q.select(F.col("query_id").alias("case_id")), results, judged)
 
@@ -227,19 +226,20 @@ def eval_recall_precision(spark, sf):
     return _cases(spark, sf).select("case_id", *(F.round(f"{m}_at_{k}", 6).alias(f"{m}_at_{k}") for k in E.CUTS for m in ("recall", "precision")))
 
 
-@register("eval_mrr_hit", f"{_EVAL} SELECT count(*) AS n_cases, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, " + ", ".join(f"round(avg((h{k} > 0)::INTEGER), 6) AS hit_at_{k}" for k in E.CUTS) + " FROM h")
-def eval_mrr_hit(spark, sf):
-    return E.run_metrics(_cases(spark, sf)).select("n_cases", F.round("mrr", 6).alias("mrr"), *(F.round(f"hit_at_{k}", 6).alias(f"hit_at_{k}") for k in E.CUTS))
+_MEANS = "count(*) AS n_cases, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, " + ", ".join(f"round(avg((h{k} > 0)::INTEGER), 6) AS hit_at_{k}" for k in E.CUTS)
 
 
-@register("eval_recall_precision_all")
-def eval_recall_precision_all(spark, sf):
-    return _cases(spark, sf, None).select("case_id", *(F.round(f"{m}_at_{k}", 6).alias(f"{m}_at_{k}") for k in E.CUTS for m in ("recall", "precision")))
+@register("eval_mrr_hit", f"{_EVAL} SELECT {_MEANS} FROM h")
+def eval_mrr_hit(spark, sf):
+    return E.run_metrics(_cases(spark, sf)).select("n_cases", F.round("mrr", 6).alias("mrr"), *(F.round(f"hit_at_{k}", 6).alias(f"hit_at_{k}") for k in E.CUTS))
 
 
-@register("eval_mrr_hit_all")
-def eval_mrr_hit_all(spark, sf):
-    return E.run_metrics(_cases(spark, sf, None)).select("n_cases", F.round("mrr", 6).alias("mrr"), *(F.round(f"hit_at_{k}", 6).alias(f"hit_at_{k}") for k in E.CUTS))
+@register("eval_by_mode", f"{_EVAL} SELECT query_label % 2 AS mode, {_MEANS} FROM h GROUP BY mode")
+def eval_by_mode(spark, sf):
+    """The means of each mode of cases; here a case's mode is its label's parity."""
+    modes = views.questions(spark, sf).select(F.col("query_id").alias("case_id"), (F.col("query_label") % 2).alias("mode"))
+    found = E.run_metrics(_cases(spark, sf).join(modes, "case_id"), by=["mode"])
+    return found.select("mode", "n_cases", F.round("mrr", 6).alias("mrr"), *(F.round(f"hit_at_{k}", 6).alias(f"hit_at_{k}") for k in E.CUTS))
 
 
 @register("eval_answer_means", "SELECT avg(least(greatest(quality * 12, 0), 10)) AS faithfulness, avg(least(greatest(toxic * 4, 0), 10)) AS correctness FROM labels")
@@ -256,10 +256,14 @@ def scoped_test_cases(spark, sf):
     return E.in_scope(labels, links, placed, docs.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("collection")), ["en"])
 
 
-@register("runs_scope_json", "SELECT event_id FROM events WHERE event_type = 'click' AND json_valid(props) AND len(json_keys(props)) > 0")
+_CONFIGS = "configs AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{}' WHEN 1 THEN '{\"collections\": []}' WHEN 2 THEN '{\"collections\": \"click\"}' WHEN 3 THEN NULL WHEN 4 THEN '{\"collections\": [\"' || event_type || '\"]}' ELSE '{\"collections\": [\"view\", \"' || event_type || '\"]}' END AS config FROM events)"
+
+
+@register("runs_scope_json", f"WITH {_CONFIGS} SELECT event_id FROM configs WHERE CASE WHEN json_type(config, '$.collections') = 'ARRAY' THEN json_array_length(config, '$.collections') > 0 AND list_has_all(['click', 'view'], json_extract_string(config, '$.collections[*]')) ELSE false END")
 def runs_scope_json(spark, sf):
-    rows = views.table(spark, sf, "events").where("event_type = 'click'")
-    return rows.where(F.coalesce(F.size(F.json_object_keys("props")), F.lit(0)) > 0).select("event_id")
+    n, kind = F.col("event_id") % 6, F.col("event_type")
+    config = F.when(n == 0, "{}").when(n == 1, '{"collections": []}').when(n == 2, '{"collections": "click"}').when(n == 4, F.format_string('{"collections": ["%s"]}', kind)).when(n == 5, F.format_string('{"collections": ["view", "%s"]}', kind))
+    return E.runs_in_scope(views.table(spark, sf, "events").select("event_id", config.alias("config")), ["click", "view"]).select("event_id")
 
 
 @register("sample_chunks_hash", "SELECT doc_id AS id FROM documents ORDER BY sha256('7:' || doc_id::VARCHAR), doc_id LIMIT 25")
@@ -343,10 +347,11 @@ def grounding_weighted_score(spark, sf):
     return G.weighted_score(rows).select("answer_id", F.round("score", 6).alias("score"))
 
 
-@register("concat_budget_prefix", "WITH r AS (SELECT doc_id AS position, sum(strlen(text) + 2) OVER (ORDER BY doc_id) AS t, row_number() OVER (ORDER BY doc_id) AS n FROM (SELECT * FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 50)) SELECT position FROM r WHERE t <= 5000 AND n <= 10")
+@register("concat_budget_prefix", "WITH r AS (SELECT conv_id AS answer_id, turn AS position, sum(strlen(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT answer_id, position FROM r WHERE t <= 500 AND n <= 3")
 def concat_budget_prefix(spark, sf):
-    rows = views.documents(spark, sf).where("collection = 'en'").orderBy("id").limit(50).select(F.col("id").alias("position"), "text")
-    return G.premise_chunks(rows).select("position")
+    """Of each answer's chunks, here the turns of a conversation, the first that fit the budget."""
+    rows = views.table(spark, sf, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("position"), "text")
+    return G.premise_chunks(rows, 500, 3, by=["answer_id"]).select("answer_id", "position")
 
 
 @register("judged_support", "SELECT conv_id AS answer_id, avg((role = 'user')::INTEGER) AS score FROM conversations GROUP BY conv_id")

@@ -1,4 +1,4 @@
-"""Cutting lineage in loops, in the folder that the session names for checkpoints."""
+"""Cutting lineage, in the folder that the session names for checkpoints."""
 
 from __future__ import annotations
 
@@ -26,6 +26,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed and kept in the checkpoint folder: a lost executor costs no recomputation of what came before."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written as a table in the checkpoint folder and read back: a lost executor costs no recomputation of what came before.
+
+    A checkpoint() would keep the constraints that the optimizer has inferred; in a loop they multiply from round to round.
+    """
+    path = work_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

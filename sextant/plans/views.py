@@ -31,10 +31,9 @@ def vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
 
-def questions(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
-    """query_id, query, label of the vectors whose ids lie under n, a batch of n questions; n None: of all vectors."""
-    rows = table(spark, sf_dir, "embeddings")
-    return (rows if n is None else rows.where(F.col("vec_id") < n)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query, query_label: every vector as a question."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
 
 
 def terms(*words: str) -> Column:

@@ -53,5 +53,5 @@ class ParquetGraph:
     def delete_by_collection(self, collection: str) -> None:
         self.change(lambda t: G.delete_collection(t, collection))
 
-    def sweep(self) -> None:
-        self.change(G.sweep_orphans)
+    def sweep(self, collection: str | None) -> None:
+        self.change(lambda t: G.sweep_orphans(t, collection))

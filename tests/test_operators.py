@@ -106,9 +106,9 @@ def test_components_of_the_whole_graph(spark):
     for r in rels.collect():
         a, b = sorted((root(r["source_id"]), root(r["target_id"])))
         up[b] = a
-    got = {r["id"]: r["community"] for r in catalog.queries()["community_connected_components_all"](spark, SF).collect()}
+    got = {r["id"]: r["community"] for r in catalog.queries()["community_connected_components"](spark, SF).collect()}
     assert got == {x: root(x) for x in up}
-    assert catalog.queries()["relationship_detail_all"](spark, SF).count() == rels.count()
+    assert catalog.queries()["relationship_detail"](spark, SF).count() == rels.count()
 
 
 def test_cooccurrences_of_large_chunks(spark):
@@ -120,21 +120,23 @@ def test_cooccurrences_of_large_chunks(spark):
 
 def test_searches_over_all_vectors(spark):
     all_ids = {r["id"] for r in views.vectors(spark, SF).collect()}
-    q = views.questions(spark, SF, None).select("query_id", "query")
+    q = views.questions(spark, SF).select("query_id", "query")
     rows = lambda df: {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in df.collect()}
-    want = rows(R.vector_batch(views.vectors(spark, SF), q, 3, threshold=None, exclude_self=True))
-    assert rows(R.vector_join(views.vectors(spark, SF), q, 3, threshold=None, exclude_self=True, block=100)) == want
+    pairs = views.vectors(spark, SF).join(q, F.col("id") != F.col("query_id")).select("query_id", "id", V.cosine(F.col("embedding"), F.col("query")).alias("score"))
+    want = rows(R.top_per(pairs, 3))
+    assert rows(R.vector_batch(views.vectors(spark, SF), q, 3, threshold=None, exclude_self=True, block=100)) == want
     near = {r["query_id"]: r["id"] for r in catalog.queries()["knn_self_join"](spark, SF).collect()}
     assert near == {i: want[i, 1][0] for i in all_ids}
-    assert catalog.queries()["eval_mrr_hit_all"](spark, SF).first()["n_cases"] == len(all_ids)
+    assert catalog.queries()["eval_mrr_hit"](spark, SF).first()["n_cases"] == len(all_ids)
 
 
 def test_sweep(graph):
-    left = G.sweep_orphans(graph)
+    left = G.sweep_orphans(graph, "one")
+    assert G.sweep_orphans(graph, "two")["entities"].count() == 6
     assert {r["id"] for r in left["entities"].collect()} == set("abc")
     assert left["relationships"].count() == 2
     assert {(r["id"], tuple(r["entity_ids"]), r["dirty"]) for r in left["communities"].collect()} == {("x", ("a", "b"), True), ("y", (), True)}
-    assert {r["id"] for r in G.delete_chunks(graph, graph["mentions"].where("chunk_id = 3").select("chunk_id"))["entities"].collect()} == set("abdef")
+    assert {r["id"] for r in G.delete_chunks(graph, graph["mentions"].where("chunk_id = 3").select("chunk_id"))["entities"].collect()} == set("ab")
 
 
 def test_levels():
@@ -301,7 +303,7 @@ def test_graph_store(spark, graph, tmp_path):
     g.persist(graph | {"communities": graph["communities"].withColumn("summary", F.lit("s"))})
     assert {r["chunk_id"]: round(r["score"], 3) for r in g.search(["A"], depth=1).collect()} == {1: 0.15, 2: 0.05}
     assert {r["name"] for r in g.related(spark.createDataFrame([("a",)], "id string"), 2).collect()} == {"A", "B", "C"}
-    g.sweep()
+    g.sweep("one")
     assert g.tables()["entities"].count() == 3 and g.tables()["communities"].where("dirty").count() == 2
     g.delete_by_collection("one")
     assert g.tables()["relationships"].count() == 0
@@ -333,3 +335,67 @@ def test_schema_and_embeddings(spark):
     assert got[2] == [9.0] and len(got[1]) == 8
     cases = E.generated_cases(rows, lambda t: f"What about {t}?", 2)
     assert len(cases) == 2 and cases[0]["relevant"]
+
+
+# --- long inputs and deep graphs ----------------------------------------------------------------------------------
+
+
+def test_long_texts_go_through(spark):
+    run = spark.createDataFrame([(1, "Aa " * 400_000), (2, "Ab cd. " * 30_000), (3, "p\f" * 30_000)], "id long, text string")
+    assert run.where("id = 1").select(F.size(T.entities_in(F.col("text")))).first()[0] == 1
+    got = run.where("id = 2").select(T.sentences(F.col("text")).alias("s")).select(F.size("s"), F.col("s")[29_999]["end"]).first()
+    assert tuple(got) == (30_000, 30_000 * 7 - 1)
+    pages = run.where("id = 3").select(T.page_ranges(F.col("text")).alias("s")).select(F.size("s"), F.col("s")[29_999]["start"]).first()
+    assert tuple(pages) == (30_000, 59_998)
+
+
+def test_running_folds_any_length(spark):
+    from sextant.functions.arrays import running
+
+    for n in (0, 1, 2, 255, 256, 257, 1000):
+        got = spark.range(1).select(running(F.array(*map(F.lit, range(n))).cast("array<int>") if n else F.array().cast("array<int>"), F.lit(0), lambda s, x: s + x, lambda s, x: s, "int", 16)).first()[0]
+        assert got == [i * (i - 1) // 2 for i in range(n)]
+
+
+def test_entities_of_a_text(spark):
+    row = spark.createDataFrame([("Acme met Jane Doe, Acme and\tBob9 Alice\nSmith",)], "t string").select(F.posexplode(T.entities_in(F.col("t"))).alias("p", "n"))
+    got = [(r["n"], r["k"]) for r in row.withColumn("k", T.entity_type(F.col("n"), F.col("p"))).collect()]
+    assert got == [("Acme", "organization"), ("Jane Doe", "person"), ("Alice\nSmith", "concept")]
+
+
+def test_page_ranges_of_trimmed_texts(spark):
+    got = spark.createDataFrame([("  ab\fcd\f",)], "r string").select(T.page_ranges(F.col("r"), 2, F.lit(4))).first()[0]
+    assert [tuple(x) for x in got] == [(1, 0, 2), (2, 3, 4)]
+
+
+def test_components_need_few_rounds(spark):
+    import random
+
+    from sextant.operators.components import connected
+    from sextant.plans.storage import cut
+
+    ids = list(range(1000))
+    for seed in (None, 1):
+        names = ids[:]
+        if seed is not None:
+            random.Random(seed).shuffle(names)
+        chain = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+        steps_taken = []
+        got = {r["id"]: r["component"] for r in connected(chain, lambda df, _: cut(df), steps_taken.append).collect()}
+        assert got == dict.fromkeys(ids, 0) and len(steps_taken) <= (15 if seed is None else 30)
+
+
+def test_numbered_over_partitions(spark):
+    rows = spark.range(1000).select("id", (F.col("id") * 7919 % 1000).alias("score")).repartition(7)
+    got = {r["id"]: r["rank"] for r in R.ranked(rows, 0).collect()}
+    assert got == {r["id"]: r["rank"] for r in R.ranked(rows, 0, most=1000).collect()} and sorted(got.values()) == list(range(1, 1001))
+
+
+def test_attribution_meets_by_rare_words(spark):
+    spans = spark.createDataFrame([(1, "the cat sat"), (2, "the the of"), (3, "zebra the cat"), (4, "")], "span_id long, text string")
+    chunks = spark.createDataFrame([(10, "the cat sat on the mat"), (11, "the of"), (12, "the"), (13, None), (14, "cat zebra")], "chunk_id long, text string")
+    words = lambda t: set((t or "").split())
+    for least in (0.3, 0.5, 0.6, 2 / 3, 1.0):
+        got = {(r["span_id"], r["chunk_id"]): round(r["score"], 6) for r in grounding.attribution(spans, chunks, least).collect()}
+        want = {(s, c): round(len(words(a) & words(b)) / len(words(a)), 6) for s, a in map(tuple, spans.collect()) for c, b in map(tuple, chunks.collect()) if words(a) and len(words(a) & words(b)) and len(words(a) & words(b)) / len(words(a)) >= least}
+        assert got == want
