@@ -13,9 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.functions.arrays import let, running
 from sextant.llm.common import work_dir
 
-SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
+SPAN = "struct<start:int,ord:int,kind:string,end:int>"
+SPANS = f"array<{SPAN}>"
+LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
 
 
 @dataclass(frozen=True)
@@ -50,24 +53,21 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """The rule's spans in a text, by start; places are code points, the end exclusive.
 
     A regular expression's matches and the stretches between them alternate, so their lengths, added up, give places.
-    The sums are folded into an array only for texts with a match.
+    The sums are only folded for texts with a match.
     """
     wanted = F.rlike(text, F.lit(rule.pattern))
     if rule.needs:
         wanted = F.contains(text, F.lit(rule.needs)) & wanted
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     pairs = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), matches.alias("hit"))
-    empty = F.array().cast(SPANS)
+    end = lambda at, pair: at + F.length(pair["gap"]) + F.coalesce(F.length(pair["hit"]), F.lit(0))
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.coalesce(F.length(pair["hit"]), F.lit(0))
+    def span(at: Column, pair: Column) -> Column:
         good = pair["hit"].isNotNull() if rule.keep is None else F.coalesce(F.rlike(pair["hit"], F.lit(rule.keep)), F.lit(False))
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["spans"], span)).otherwise(state["spans"]).cast(SPANS).alias("spans"))
+        return F.when(good, F.struct((at + F.length(pair["gap"])).alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end(at, pair).alias("end")))
 
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda s: s["spans"])
-    return F.when(wanted, folded).otherwise(empty)
+    found = F.filter(running(pairs, F.lit(0), end, span, SPAN), lambda s: s.isNotNull())
+    return F.when(wanted, found).otherwise(F.array().cast(SPANS))
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", todo_col: str | None = None) -> DataFrame:
@@ -83,14 +83,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> None:
-    """Scan what the ledger (a folder) lacks and append it: rows (blob, rules, spans), one a blob and run."""
+    """Scan what the ledger (a folder) lacks and append it: rows (blob, rules, spans), one a blob and run.
+
+    A folder without a finished file, as a run that broke off leaves it, is an empty ledger.
+    """
     spark = versions.sparkSession
     tags = [r.tag for r in rules]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     blobs = versions.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
     todo = F.array(*map(F.lit, tags))
     if _exists(spark, ledger):
-        seen = spark.read.parquet(ledger).select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(tags)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        seen = spark.read.schema(LEDGER).parquet(ledger).select("blob", F.explode("rules").alias("rule")).where(F.col("rule").isin(tags)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").where(F.size("todo") > 0)
     else:
         blobs = blobs.withColumn("todo", todo)
@@ -109,7 +112,7 @@ def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     update_ledger(versions, ledger, rules, text_col=text_col)
     kinds = [r.kind for r in rules]
     # Appended rows of one blob hold other rule versions each; those with a finding are few.
-    hits = spark.read.parquet(ledger).where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s"), "rules")
+    hits = spark.read.schema(LEDGER).parquet(ledger).where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s"), "rules")
     current = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.tag)))
     hits = hits.where(F.col("s.kind").isin(kinds) & F.array_contains(F.col("rules"), current[F.col("s.kind")]))
     by_blob = work_dir(spark, "blob-findings")
@@ -121,15 +124,37 @@ def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     return joined.withColumn(spans_col, F.coalesce(own, F.array().cast(SPANS))).drop(blob, own)
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch that spans cover replaced by the mark; overlapping spans count as one."""
-    def merge(state: Column, s: Column) -> Column:
-        out, at = state["out"], state["at"]
-        piece = F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.concat(out, piece).alias("out"), F.greatest(at, s["end"]).alias("at"))
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]", block: int = 1024) -> Column:
+    """The text with every stretch that spans cover replaced by the mark; overlapping spans count as one.
+
+    What stands between stretches is cut from blocks of the text, as a cut from the whole would walk to its place anew.
+    """
+    def between(blocks: Column, begin: Column, end: Column) -> Column:
+        """Characters begin to end, or none."""
+        first, last = F.floor(begin / block).cast("int"), F.floor((end - 1) / block).cast("int")
+
+        def part(i: Column) -> Column:
+            low = F.greatest(begin - i * block, F.lit(0))
+            return F.substring(F.get(blocks, i), low + 1, F.least(end - i * block, F.lit(block)) - low)
+
+        return F.when(end > begin, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise(F.lit(""))
+
+    def cover(at: Column, s: Column) -> Column:
+        return F.greatest(at, s["end"])
+
+    def gap(at: Column, s: Column) -> Column:
+        return F.struct(at.alias("begin"), s["start"].alias("end"))
+
+    def whole(gaps: Column) -> Column:
+        def put(blocks: Column) -> Column:
+            # A span that begins inside the one before has no gap before it and adds no mark.
+            parts = F.transform(F.filter(gaps, lambda g: g["end"] >= g["begin"]), lambda g: F.concat(between(blocks, g["begin"], g["end"]), F.lit(mark)))
+            end = F.array_max(F.transform(spans, lambda s: s["end"]))
+            return F.concat(F.array_join(parts, ""), let(end, lambda e: between(blocks, e, F.length(text))))
+
+        return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), put)
 
-    ordered = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), merge, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, ordered).otherwise(text)
+    return F.when(F.size(spans) > 0, let(running(spans, F.lit(0), cover, gap, "struct<begin:int,end:int>"), whole)).otherwise(text)
 
 
 def joined(spans: Column) -> Column:
