@@ -79,7 +79,7 @@ class ZipRanges:
     """Members of a ZIP file that is read by ranges: f has read_at(n, offset) and size()."""
 
     def __init__(self, f):
-        self.f, self.end = f, f.size()
+        self.f, self.end, self.starts = f, f.size(), {}
         self.members = {m.name: m for m in self._directory()}
 
     def _read(self, offset: int, n: int) -> bytes:
@@ -131,10 +131,12 @@ class ZipRanges:
 
     def start(self, m: Member) -> int:
         """Where a member's data begins: its own header may have other extra fields than the directory."""
-        head = self._read(m.header, 30)
-        if head[:4] != b"PK\x03\x04":
-            raise ValueError("a broken member")
-        return m.header + 30 + sum(struct.unpack_from("<HH", head, 26))
+        if m.name not in self.starts:
+            head = self._read(m.header, 30)
+            if head[:4] != b"PK\x03\x04":
+                raise ValueError("a broken member")
+            self.starts[m.name] = m.header + 30 + sum(struct.unpack_from("<HH", head, 26))
+        return self.starts[m.name]
 
     def read(self, name: str, offset: int = 0, n: int | None = None) -> bytes:
         """A range of a stored member; a deflated one is read whole first."""
