@@ -28,18 +28,19 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
     """Dictionaries by language, from a bounded sample of labelled rows.
 
     The bound: docs_per_lang rows of each of at most max_langs languages, those with the smallest hash of their id,
-    and of each the piece_bytes in the middle, up to dict_bytes a language. Rows with a null id or language and texts
+    and of each the piece_bytes in the middle, up to dict_bytes a language. Texts are cut and rows limited on the
+    executors, so that the driver gets no more than that many characters, however long or often repeated a row is. Rows with a null id or language and texts
     without letters teach nothing. More languages than max_langs is an error.
     """
-    key = F.xxhash64(F.col(id_col))
-    nearest = Window.partitionBy("lang").orderBy("key", "id")
-    ids = train.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key.alias("key"))
-    picked = ids.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= docs_per_lang).select("id", "lang", "key").limit(max_langs * docs_per_lang + 1).collect()
-    langs = {r["lang"] for r in picked}
-    if len(langs) > max_langs or len(picked) > max_langs * docs_per_lang:
+    key, chars = F.xxhash64(F.col(id_col)), 2 * piece_bytes
+    middle = F.substring(F.col(text_col), F.greatest(F.lit(1), F.floor((F.length(F.col(text_col)) - chars) / 2).cast("int")), F.lit(chars))
+    known = train.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.rlike(F.col(text_col), F.lit("\\p{L}")))
+    rows = known.select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(id_col).cast("string").alias("id"), middle.alias("text"))
+    nearest = Window.partitionBy("lang").orderBy("key", "id", "text")
+    picked = rows.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= docs_per_lang).drop("n").limit(max_langs * docs_per_lang + 1).collect()
+    if len({r["lang"] for r in picked}) > max_langs or len(picked) > max_langs * docs_per_lang:
         raise ValueError(f"more than {max_langs} languages")
-    rows = train.where(F.col(id_col).isin([r["id"] for r in picked]) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")) if picked else None
-    found = sorted(((hash_order, r["lang"], r["text"]) for hash_order, r in ((str(r["id"]), r) for r in rows.collect())) if rows is not None else [])
+    found = sorted((r["id"], r["lang"], r["text"]) for r in picked)
     parts: dict[str, list[bytes]] = {}
     for _, lang, text in found:
         raw = normalized(text)
