@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER_DIR = "/opt/tokenizers"
+
 _fallback_dir: list[str] = []
 
 
@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback_dir[0]
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder's name under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -39,6 +46,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between an operator's steps, in a folder of their own; drop() removes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, work_dir(spark, name), []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{len(self.paths):03d}-{name}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *but: str) -> None:
+        """Remove all tables but those of these names."""
+        for path in self.paths:
+            if path.rpartition("-")[2] not in but:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def crc_mod(col: Column, m: int) -> Column:
     """crc32 of the value as text, modulo m."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(m))
