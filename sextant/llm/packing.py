@@ -22,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import TOKENIZER_DIR, map_rows
+from sextant.llm.common import Scratch, map_rows, vocabulary
 
-VOCABULARY = f"{TOKENIZER_DIR}/word_bpe_49k.json"
+VOCABULARY = vocabulary("word_bpe_49k.json")
 # The vocabulary's own pre-token pattern: a fixed value.
 # str.split() also takes these for white space, which Unicode's property doesn't.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -202,16 +202,18 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return sequence, offset
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, path: str = VOCABULARY, linear: float = 1.0, quadratic: float = 1.0 / 2048, block_docs: int = 4096, n_docs: int | None = None, cached_words: int = 600_000) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, path: str = VOCABULARY, linear: float = 1.0, quadratic: float = 1.0 / 2048, block_pieces: int = 4096, cached_words: int = 600_000) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents are dealt to blocks of about block_docs by a hash of their ids and packed block by block; sequence ids are
-    block * 2**32 + number. Null and empty texts are one piece (the end id). Repeated rows are packed each. Ties of
-    length go by id, then start. An empty table gives an empty one; other columns are ignored.
+    Pieces are written to the shared folder, so texts are tokenized once, and counted there. They are dealt to blocks of
+    about block_pieces by a hash of id, start and ids, so a long document's pieces lie in many blocks and a block's rows
+    are bounded; each block is packed by itself. Sequence ids are block * 2**32 + number. Null and empty texts are one
+    piece (the end id). Repeated rows are packed each. Ties of length go by id, then start. An empty table gives an empty
+    one; other columns are ignored.
     """
-    n = n_docs if n_docs is not None else docs.count()
-    blocks = max(1, math.ceil(n / block_docs))
-    cut = pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, path=path, cached_words=cached_words)
+    scratch = Scratch(docs.sparkSession, "packing")
+    cut = scratch.written(pieces(docs, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, path=path, cached_words=cached_words), "pieces")
+    blocks = max(1, math.ceil(cut.count() / block_pieces))
     dealt = cut.withColumn("block", F.pmod(F.xxhash64("id", "ids_crc32", "start"), F.lit(blocks)))
     schema = "id " + dict(docs.dtypes)[id_col] + ", start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
