@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import collections
+import datetime
 import hashlib
 import io
 import math
@@ -73,6 +74,131 @@ def test_pii_formats_and_links(spark):
     assert pii.pseudonymize(docs(spark, [(1, text)]), "other").first()["found"][1]["pseudonym"] != by["card"]
 
 
+def mod97(t):
+    return int("".join(str(int(c, 36)) for c in t)) % 97
+
+
+def brute_valid(kind, v):
+    d = re.sub(r"\D", "", v)
+    if kind == "iban":
+        p = v.replace(" ", "")
+        return 15 <= len(p) <= 34 and mod97(p[4:] + p[:4]) == 1
+    if kind == "ip":
+        return all(int(o) <= 255 for o in v.split("."))
+    if kind == "date":
+        try:
+            return bool(datetime.date.fromisoformat(v))
+        except ValueError:
+            return False
+    if kind == "ssn":
+        return 1 <= int(d[:3]) <= 899 and d[:3] != "666" and d[3:5] != "00" and d[5:] != "0000"
+    return luhn(d) if kind == "card" else True
+
+
+def shaped(shape, new):
+    it = iter(new)
+    return "".join(next(it) if c.isalnum() else c for c in shape)
+
+
+def brute_pseudonym(kind, v, key):
+    d = re.sub(r"\D", "", v)
+    if kind == "ip":
+        o = [int(x) for x in v.split(".")]
+        a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip:")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "date":
+        day = (datetime.date.fromisoformat(v) - datetime.date(1900, 1, 1)).days
+        a, b = feistel(day // 4297, day % 4297, 17, 4297, key, "date:")
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(a * 4297 + b))
+    if kind == "ssn":
+        area = int(d[:3])
+        a, b = feistel(area - 2 if area > 666 else area - 1, (int(d[3:5]) - 1) * 9999 + int(d[5:]) - 1, 898, 99 * 9999, key, "ssn:")
+        return f"{a + 2 if a >= 665 else a + 1:03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+    if kind == "phone":
+        n = d[-10:]
+        a, b = feistel((int(n[:3]) - 200) * 800 + int(n[3:6]) - 200, int(n[6:]), 640000, 10000, key, "phone:")
+        return shaped(v, d[:-10] + f"{a // 800 + 200:03}{a % 800 + 200:03}{b:04}")
+    if kind == "card":
+        body = d[1:-1]
+        left = len(body) // 2
+        a, b = feistel(int(body[:left]), int(body[left:]), 10**left, 10 ** (len(body) - left), key, f"card:{d[0]}.{len(d)}")
+        head = d[0] + str(a).zfill(left) + str(b).zfill(len(body) - left)
+        return shaped(v, head + next(c for c in "0123456789" if luhn(head + c)))
+    p = v.replace(" ", "")
+    account, country = p[4:], p[:2]
+    digits_ = re.sub(r"[A-Z]", "", account)
+    left = len(digits_) // 2
+    a, b = feistel(int(digits_[:left] or 0), int(digits_[left:] or 0), 10**left, 10 ** (len(digits_) - left), key, "iban:" + country + re.sub(r"[0-9]", "#", account))
+    it = iter((str(a).zfill(left) if left else "") + (str(b).zfill(len(digits_) - left) if digits_ else ""))
+    filled = "".join(next(it) if c.isdigit() else c for c in account)
+    return shaped(v, country + f"{98 - mod97(filled + country + '00'):02}" + filled)
+
+
+def brute_pii(text, key):
+    found = []
+
+    def mail(m):
+        found.append(("email", "p" + hashlib.sha256(f"{key}|email|{m.group().lower()}".encode()).hexdigest()[:16] + "@mail.invalid"))
+        return found[-1][1]
+
+    def number(m):
+        v = m.group()
+        numbers = [k for k in pii.KINDS if k != "email"]
+        kind = next((k for k in numbers if re.fullmatch(pii.PATTERNS[k], v) and brute_valid(k, v)), None)
+        start, own = 0, v
+        if kind is None:
+            runs = []
+            for k, cut in (("iban", " "), ("card", " -")):
+                begins = [i for i, c in enumerate(v) if c not in cut and (i == 0 or v[i - 1] in cut)]
+                ends = [i for i, c in enumerate(v) if c not in cut and (i == len(v) - 1 or v[i + 1] in cut)]
+                runs += [(k, i, v[i : j + 1]) for i in begins for j in ends if j >= i]
+            runs = [r for r in runs if re.fullmatch(pii.PATTERNS[r[0]], r[2]) and brute_valid(r[0], r[2])]
+            order = lambda r: (r[0] != "iban", r[0] == "card" and len(re.sub(r"\D", "", r[2])) != 16)
+            if not runs:
+                return v
+            kind, start, own = sorted(runs, key=order)[0]
+        found.append((kind, brute_pseudonym(kind, own, key)))
+        return v[:start] + found[-1][1] + v[start + len(own) :]
+
+    text = re.sub(pii.PATTERNS["email"], mail, text)
+    return re.sub(pii._NUMBERS, number, text), found
+
+
+def with_luhn(head):
+    return head + next(c for c in "0123456789" if luhn(head + c))
+
+
+def test_pii_equals_brute_force(spark):
+    rng = random.Random(3)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def iban():
+        body = rng.choice(["", "WEST", "ABNA"]) + number(rng.choice((12, 14, 16)))
+        plain = "GB" + f"{98 - mod97(body + 'GB' + '00'):02}" + body
+        return " ".join(plain[i : i + 4] for i in range(0, len(plain), 4)) if rng.random() < 0.5 else plain
+
+    def card():
+        plain = with_luhn(number(rng.choice((12, 14, 15, 15, 15, 18))))
+        return rng.choice("- ").join(plain[i : i + 4] for i in range(0, len(plain), 4)) if rng.random() < 0.5 else plain
+
+    makers = [iban, card, lambda: number(rng.randint(1, 20)), lambda: f"{rng.choice((1899, 1950, 2024, 2099))}-{rng.randint(1, 13):02}-{rng.randint(1, 31):02}", lambda: ".".join(str(rng.randint(0, 280)) for _ in range(4)), lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: rng.choice(["+1 ", "", "1-"]) + rng.choice(["(438) ", "438-", "438."]) + "555-" + number(4), lambda: f"a{number(2)}@b.c-{number(1)}.org", lambda: "WORD", lambda: "12/26"]
+    rows = [(i, rng.choice(["", "x "]) + "".join(rng.choice(makers)() + rng.choice([" ", " ", ", ", "-", ""]) for _ in range(rng.randint(1, 6)))) for i in range(1500)]
+    rows += [(2000, "4111 1111 1111 1111 12/26"), (2001, "4111111111111111 123"), (2002, "12 4111111111111111"), (2003, "AT611904300234573201 2024 AT61 1904 3002 3457 3201 2024")]
+    got = {r["doc_id"]: (r["text"], [tuple(f) for f in r["found"]]) for r in pii.pseudonymize(docs(spark, rows), "k").collect()}
+    kinds = collections.Counter()
+    for i, t in rows:
+        assert got[i] == brute_pii(t, "k"), t
+        kinds.update(k for k, _ in got[i][1])
+    assert set(kinds) == set(pii.KINDS) and min(kinds.values()) > 50
+    assert all(got[i][1] for i in range(2000, 2004)) and "4111" not in got[2000][0] + got[2001][0] + got[2002][0] and "190430023457" not in got[2003][0]
+
+
+def test_pii_long_texts(spark):
+    rows = [(1, "a@b" + ".c" * 50000), (2, "4111 1111 1111 1111, " * 4000), (3, "1-" * 100000)]
+    got = {r["doc_id"]: r for r in pii.pseudonymize(docs(spark, rows), "k").collect()}
+    assert len(got[1]["found"]) == 1 and len(got[2]["found"]) == 4000 and got[3]["text"] == rows[2][1]
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(17 * 31).select((F.col("id") % 17).alias("a"), F.floor(F.col("id") / 17).alias("b"))
     out = pairs.select(pii.feistel(F.col("a"), F.col("b"), (F.lit(17), F.lit(31)), "k", F.lit("t")).alias("p")).select("p.a", "p.b")
@@ -135,6 +261,38 @@ def test_redaction(spark):
     assert row[0]["new"] == "é [SECRET]\" end" and row[1]["new"] is None
 
 
+def test_secrets_of_long_texts(spark):
+    many = "0123456789abcdef01234567 é" * 100_000
+    found = secrets.findings(docs(spark, [(1, many), (2, "token=abcdefgh, " * 20_000)])).withColumn("new", secrets.redacted(F.col("text"), F.col("spans")))
+    got = {r["doc_id"]: r for r in found.select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1).alias("last"), "new").collect()}
+    assert got[1]["n"] == 100_000 and tuple(got[1]["last"]) == (99_999 * 26, 2, "hex", 99_999 * 26 + 24)
+    assert got[1]["new"] == "[SECRET] é" * 100_000 and got[2]["new"] == "[SECRET], " * 20_000
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        text = "".join(rng.choices("aé😀 b", k=rng.randint(1, 60)))
+        spans = sorted((s, 0, "k", rng.randint(s + 1, len(text))) for s in rng.choices(range(len(text)), k=rng.randint(0, 4)))
+        rows.append((i, text, spans))
+    table = spark.createDataFrame(rows, f"i int, text string, spans {secrets.SPANS}")
+    for block in (3, 1024):
+        for r in table.withColumn("new", secrets.redacted(F.col("text"), F.col("spans"), "#", block)).collect():
+            want, at = "", 0
+            for s, _, _, e in r["spans"]:
+                if s >= at:
+                    want += r["text"][at:s] + "#"
+                at = max(at, e)
+            assert r["new"] == want + r["text"][at:]
+
+
+def test_ledger_after_a_broken_first_run(spark, tmp_path):
+    (tmp_path / "ledger" / "_temporary").mkdir(parents=True)
+    found = secrets.findings(docs(spark, [(1, "password=abcdefgh")]), f"file://{tmp_path}/ledger")
+    assert found.where("size(spans) = 1").count() == 1
+
+
 # --- 3, 9 vectors -----------------------------------------------------------------------------------------------
 
 
@@ -356,19 +514,31 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(docs(spark, [])).count() == 0
 
 
-def test_segment_trees_agree():
+def test_segment_tree_gives_every_merge():
     codec = bpe.ByteBPE()
     random.seed(7)
-    for n in (2, 17, 18, 100, 700):
+    for n in [*range(1, 40), 100, 700] * 3:
         ids = [codec.first[ord(random.choice("aeinrst"))] for _ in range(n)]
         slow = ids[:]
         while True:
-            ranks = [codec.pairs.get(a << bpe.BITS | b, bpe.NEVER) for a, b in zip(slow, slow[1:])]
+            ranks = [codec.ranks.get(a << bpe.BITS | b, bpe.NEVER) for a, b in zip(slow, slow[1:])]
             if not ranks or min(ranks) == bpe.NEVER:
                 break
             i = ranks.index(min(ranks))
-            slow[i : i + 2] = [ranks[i] & bpe.ID]
-        assert bpe.merge_all(ids, codec.pairs) == slow
+            slow[i : i + 2] = [codec.merged[ranks[i]]]
+        assert bpe.merge_all(ids, codec.ranks, codec.merged) == slow
+    words = ["".join(random.choices("aeinrst", k=random.randint(1, 70))).encode() for _ in range(3000)]
+    for own in (words, words[:3], [b"a"], []):
+        assert codec.forest.merge(own, 5000) == [tuple(bpe.merge_all([codec.first[b] for b in x], codec.ranks, codec.merged)) for x in own]
+
+
+def test_every_pretoken_goes_through_a_tree(monkeypatch):
+    seen = []
+    single, many = bpe.merge_all, bpe.Forest.grown
+    monkeypatch.setattr(bpe, "merge_all", lambda ids, *tables: seen.append(len(ids)) or single(ids, *tables))
+    monkeypatch.setattr(bpe.Forest, "grown", lambda self, words, size: seen.extend(map(len, words)) or many(self, words, size))
+    bpe.ByteBPE().encode("an ox or two" + " z" * 30 + " antidisestablishmentarianism" + " y" * 3000 + "x" * 3000)
+    assert sorted(seen) == [2, 2, 2, 3, 3, 4, 29, 3002]
 
 
 def test_packing_equals_the_library(spark):
@@ -380,7 +550,7 @@ def test_packing_equals_the_library(spark):
     texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 40))) for _ in range(2000)] + ["<|endoftext|>a<|startoftext|> ΑΣ ΣΑ", "", "word " * 9000]
     rows = [*ODD, *enumerate(texts, 100)]
     ids = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for _, t in rows]
-    got = packing.pack(docs(spark, rows), block_docs=500).collect()
+    got = packing.pack(docs(spark, rows), block_pieces=500).collect()
     want = collections.Counter((i, s, min(2048, len(x) - s), zlib.crc32(x[s : s + 2048].tobytes()), len(x)) for (i, _), x in zip(rows, ids, strict=True) for s in range(0, len(x), 2048))
     assert collections.Counter(tuple(r)[:5] for r in got) == want
     held = collections.defaultdict(list)
