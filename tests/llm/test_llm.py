@@ -315,7 +315,7 @@ VECTORS = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [0.25, 0.5]), (2, [0.25, 0.5])
 
 def test_exact_topk(spark):
     inner = lambda a, b: sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(a, b, strict=True))
-    got = {tuple(r) for r in topk.search(vectors(spark, VECTORS), F.col("id") % 20 == 0, k=3, block_rows=2, query_rows=1).collect()}
+    got = {tuple(r) for r in topk.search(vectors(spark, VECTORS), F.col("id") % 20 == 0, k=3, block_bytes=32).collect()}
     assert got == brute(VECTORS, 3, 20, inner)
     assert topk.search(vectors(spark, []), F.col("id") % 20 == 0).count() == 0
 
@@ -324,7 +324,7 @@ def test_exact_topk_random(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(64)]) for i in range(300)] + [(i, [0.5] * 64) for i in range(300, 340)]
     inner = lambda a, b: sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(a, b, strict=True))
-    got = {tuple(r) for r in topk.search(vectors(spark, rows), F.col("id") % 20 == 0, block_rows=64).collect()}
+    got = {tuple(r) for r in topk.search(vectors(spark, rows), F.col("id") % 20 == 0, block_bytes=64 * 512).collect()}
     assert got == brute(rows, 10, 20, inner)
 
 
@@ -336,11 +336,70 @@ def test_too_many_vector_lengths_are_an_error(spark, monkeypatch):
     assert topk.search(rows.where("vec_id < 2"), F.col("id") == 0).count() == 0
 
 
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    """No length is left out, however many there are."""
+    rows = spark.range(1200).select((F.col("id") * 10).alias("vec_id"), F.array_repeat(F.lit(0.5), (F.col("id") / 2).cast("int") + 1).cast("array<float>").alias("embedding"))
+    assert topk.search(rows, F.col("id") % 100 == 0).count() == 120
+    assert ann.search(rows, F.col("id") % 20 == 0).select("query_id").distinct().count() == 600
+
+
+def test_exact_topk_of_great_numbers(spark):
+    rng = np.random.default_rng(6)
+    for size in (2.0**13, 2.0**16, 2.0**19.9):  # scores to 2**50, 2**56, 2**62
+        raw = [[float(np.float32(x)) for x in v] for v in rng.uniform(-size, size, (60, 8)) / 4]
+        rows = list(enumerate(raw))
+        inner = lambda a, b: sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(a, b, strict=True))
+        got = {tuple(r) for r in topk.search(vectors(spark, rows), F.col("id") % 20 == 0, k=5).collect()}
+        assert got == brute(rows, 5, 20, inner)
+    with pytest.raises(OverflowError):
+        topk.search(vectors(spark, [(0, [1e30, 1.0])]), F.col("id") == 0)
+
+
+def test_ann_of_great_norms(spark):
+    rows = spark.createDataFrame([(i, [1e200 if i == 7 else float(i % 3 + 1), *[float(i * j % 5) for j in range(7)]]) for i in range(200)], "vec_id long, embedding array<double>")
+    got = ann.search(rows, F.col("id") % 20 == 0).collect()
+    assert len(got) == 200 and all(r["vec_id"] == 7 for r in got if r["rank"] == 1)
+    huge = spark.createDataFrame([(i, [1e308, -1e308, float(i)]) for i in range(30)], "vec_id long, embedding array<double>")
+    assert ann.search(huge, F.col("id") == 0).count() == 20
+
+
+def test_ann_recall_of_large_blocks():
+    rng = np.random.default_rng(12)
+    sphere = rng.standard_normal((16384, 64))
+    sphere /= np.linalg.norm(sphere, axis=1)[:, None]
+    centres = rng.standard_normal((100, 64))
+    for own in (sphere, centres[rng.integers(0, 100, 16384)] + 0.3 * rng.standard_normal((16384, 64)), sphere * rng.lognormal(0, 1, (16384, 1))):
+        ids, q = np.arange(len(own)), np.arange(0, 800, 20)
+        a, b, _ = ann.search_block_in_parts(20, 64, 0.8, 1.25, 1.25, 11, np.linalg.norm(own, axis=1).max(), q, own[q], ids, own)
+        exact = own[q] @ own.T
+        exact[np.arange(len(q)), q] = -np.inf
+        truth = {(int(x), int(y)) for x, row in zip(q, exact) for y in np.argsort(-row)[:20]}
+        assert len(a) == 800 and len(truth & set(zip(a.tolist(), b.tolist()))) >= 0.9 * len(truth)
+
+
+def test_ann_counts_only_new_entries(monkeypatch):
+    """Over all rounds, no entry of an array is counted twice."""
+    rng = np.random.default_rng(13)
+    own = rng.standard_normal((3000, 32))
+    counted = []
+    plain = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, **o: counted.append(len(x)) or plain(x, **o))
+    ann.search_block(20, 64, 0.8, 1.25, 1.25, 11, np.linalg.norm(own, axis=1).max(), np.array([0]), own[:1], np.arange(3000), own)
+    assert len(counted) > 1 and sum(counted) <= 64 * 3000
+
+
+def test_blocks_are_copied_seldom():
+    assert blocks.block_counts(100, 5, 64, 16 << 20, 8) == (1, 1)
+    assert blocks.block_counts(51282, 2565, 64, 16 << 20, 8) == (8, 1)
+    vectors_, queries_ = blocks.block_counts(10**8, 5 * 10**6, 64, 16 << 20, 4000)
+    assert (vectors_, queries_) == (3052, 153)
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(2)
     raw = rng.standard_normal((1200, 64))
     rows = [(i, [float(np.float32(x)) for x in v / np.linalg.norm(v) * (1 + i % 3)]) for i, v in enumerate(raw)]
-    got = ann.search(vectors(spark, rows), F.col("id") % 20 == 0, block_rows=512).collect()
+    got = ann.search(vectors(spark, rows), F.col("id") % 20 == 0, block_bytes=512 * 512).collect()
     want = brute(rows, 20, 20, lambda a, b: float(np.dot(a, b)))
     truth = {(q, i) for q, _, i, _ in want}
     assert len(got) == 60 * 20 and len({(r["query_id"], r["vec_id"]) for r in got} & truth) >= 0.9 * len(truth)
@@ -477,6 +536,53 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def planted_pair(rng, n):
+    """Two sets of about n values with a similarity from 0.75 to 0.80."""
+    while True:
+        common = rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
+        extra = round(n * (1 / rng.uniform(0.75, 0.80) - 1))
+        own = rng.integers(0, 1 << 63, extra, dtype=np.int64).astype(np.uint64)
+        at = rng.integers(0, extra + 1)
+        a, b = np.unique(np.concatenate([common, own[:at]])), np.unique(np.concatenate([common, own[at:]]))
+        if 0.75 <= len(np.intersect1d(a, b)) / len(np.union1d(a, b)) <= 0.80:
+            return a, b
+
+
+def test_sketches_keep_planted_links(spark):
+    """10,000 pairs between 0.75 and 0.80, of sets of 6 to 3,000 values."""
+    rng, one = np.random.default_rng(21), shingles.OnePermutation(50, 6)
+    words = -(-300 // 32)
+    rows, shared = [], 0
+    for i in range(10_000):
+        pair = planted_pair(rng, int(np.exp(rng.uniform(np.log(6), np.log(3000)))))
+        values = [one.signature(s) for s in pair]
+        shared += bool((one.keys_of(values[0]) == one.keys_of(values[1])).any())
+        rows.append((i, *(x for s, v in zip(pair, values) for x in (len(s), np.concatenate([neardup._sketch(v), neardup._odd_sketch(s)]).tolist()))))
+    table = spark.createDataFrame(rows, "i int, n1 long, s1 array<long>, n2 long, s2 array<long>")
+    sides = table.select(F.struct(F.col("n1").alias("n"), F.col("s1").alias("sketch")).alias("x"), F.struct(F.col("n2").alias("n"), F.col("s2").alias("sketch")).alias("y"))
+    assert sides.where(neardup._can_reach(300, 75, words)).count() == 10_000
+    assert shared >= 9_990
+
+
+def test_near_duplicate_chains(spark):
+    """Versions of a text whose ids rise, each linked with the next alone or nearly so."""
+    random.seed(6)
+    words = ["c%d" % i for i in range(120)]
+    rows = []
+    for i in range(150):
+        rows.append((i + 1, " ".join(words)))
+        words = words[2:] + ["n%d" % (2 * i), "n%d" % (2 * i + 1)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == dict.fromkeys(range(1, 151), 1)
+
+
+def test_near_duplicates_leave_two_tables(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("sextant.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    assert neardup.near_duplicates(docs(spark, ODD)).count() == len(ODD)
+    left = {p.name.partition("-")[2] for p in next(tmp_path.glob("near-duplicates-*")).iterdir() if not p.name.startswith(".")}
+    assert left == {"signatures", "by_set"}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     one = shingles.OnePermutation(50, 6)
