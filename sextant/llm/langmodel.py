@@ -3,9 +3,10 @@
 Tokens are words and an end. The output softmax is factored: first a class, then a word within it. The most frequent
 words have classes of their own kind, `width` words each, and a softmax within the class that depends on the state; the
 others fall to classes by their last letters and are drawn there by their counts. Training is truncated backpropagation
-over all windows; the state goes on from window to window to a document's end. Documents lie end to end in parallel streams.
+over every window; the state goes on from window to window to a document's end. Documents lie end to end in parallel streams.
 
-Word counts are counts of 64-bit hashes over all training text. The bounded set of frequent words goes to every task;
+Word counts are counts of 64-bit hashes over all training text. After them texts are read once more, as tokens; training and
+scoring go on from those. The bounded set of frequent words goes to every task;
 the counts of the rest are joined.
 """
 
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import written
+from sextant.llm.common import Scratch
 from sextant.llm.shingles import words_of
 
 END = np.uint64(0xE5D)  # the end token's hash
@@ -41,6 +42,7 @@ class Shape:
     streams: int = 256
     window: int = 24
     buffer_docs: int = 4096
+    block_tokens: int = 1 << 20
     rate: float = 0.05
 
     @property
@@ -350,44 +352,112 @@ class Model:
         return out
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
-    """Rows (id, hashes, tails) in lists of at most `most`, whole texts."""
-    held: list[tuple] = []
-    for batch in batches:
-        ids = batch.column("id").to_pylist() if "id" in batch.schema.names else [None] * len(batch)
-        for i, own in zip(ids, tokens_of(batch.column("text").to_pylist()), strict=True):
-            held.append((i, *own))
-            if len(held) >= most:
-                yield held
-                held = []
-    if held:
-        yield held
-
-
-def fit(train: DataFrame, frequent: Frequent, tails: np.ndarray, shape: Shape, *, text_col: str = "text", start_docs: int = 256) -> dict[str, np.ndarray]:
-    """Weights after one pass over all training texts: every task goes on from a common start with its own rows, and the
-    tasks' weights are averaged by their numbers of tokens. The start has the counts of all training text as biases (tails:
-    those of the tail classes) and the rest from start_docs texts, its bound."""
-    spark = train.sparkSession
-    texts = train.select(F.col(text_col).cast("string").alias("text"))
-    first = Model(shape)
-    first.begin(frequent.head_counts(), tails)
-    for row in [texts.limit(start_docs).toArrow().column("text").to_pylist()]:
-        docs = [frequent.look_up(h, t)[0] for h, t in tokens_of(row)]
-        first.run(docs, True)
-    first.descend()
-    sent = spark.sparkContext.broadcast((frequent, first.w))
+@dataclass(frozen=True)
+class Corpus:
+    """Texts as tokens, with what the training rows' counts say of them.
+
+    encoded: row, id, train, tokens (the model's ids), n_known, base, tail, rest, times: the sums over frequent words of the
+    base score and of the tail words' shares in their classes, and the hashes of the other words with their numbers.
+    """
+
+    encoded: DataFrame
+    counts: DataFrame
+    frequent: Frequent
+    class_sums: np.ndarray
+    n: int
+    v: int
+    shape: Shape
+    scratch: Scratch
+
+    @property
+    def class_log(self) -> np.ndarray:
+        """log10 of each tail class's counts, one more for each of its words."""
+        return np.log10(self.class_sums.sum(1) + 1)
+
+
+def prepare(docs: DataFrame, is_train: Column, *, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> Corpus:
+    """Count the training texts' words, then read every text once more as tokens, which are written to the shared folder."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "language-model")
+    counts = scratch.written(count_words(docs.where(is_train), text_col, shape.tail_classes), "counts")
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words, numbers, classes = most_frequent(counts, shape.frequent)
+    frequent = Frequent(words, numbers, shape)
+    sums = np.zeros((shape.tail_classes, 2))
+    for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        sums[r["class"]] = r["n"], r["v"]
+    if len(numbers):
+        np.subtract.at(sums, classes[: shape.head], np.stack([numbers[: shape.head], np.ones(min(len(numbers), shape.head))], 1))
+    sent = spark.sparkContext.broadcast((frequent, np.log10(sums.sum(1) + 1)))
+    least = math.log10(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, weights = sent.value
-        model, n = Model(shape, {k: v.copy() for k, v in weights.items()}), 0
-        for rows in _buffers(batches, shape.buffer_docs):
-            docs = [frequent.look_up(h, t)[0] for _, h, t in rows]
-            n += sum(map(len, docs))
-            model.run(docs, True)
+        frequent, class_log = sent.value
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("tokens", "n_known", "base", "tail", "rest", "times")}
+            for hashes, tails in tokens_of(batch.column("text").to_pylist()):
+                ids, c = frequent.look_up(hashes, tails)
+                known, tail = c >= 0, ids >= shape.head
+                rest, times = np.unique(hashes[~known], return_counts=True)
+                out["tokens"].append(ids.astype(np.int16))
+                out["n_known"].append(int(known.sum()))
+                out["base"].append(np.log10(c[known] + 1.0).sum() - len(ids) * least)
+                out["tail"].append(np.log10(c[known & tail] + 1.0).sum() - class_log[ids[tail] - shape.head].sum())
+                out["rest"].append(rest.astype(np.int64))
+                out["times"].append(times)
+            lists = []
+            for name, kind in (("tokens", np.int16), ("rest", np.int64), ("times", np.int64)):
+                at = np.concatenate([[0], np.cumsum([len(x) for x in out[name]])]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, kind), *out[name]]).astype(kind))))
+            rows = pa.array(row + np.arange(len(batch)), pa.int64())
+            row += len(batch)
+            yield pa.RecordBatch.from_arrays([rows, batch.column("id"), batch.column("train"), lists[0], pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["tail"], pa.float64()), *lists[1:]], ["row", "id", "train", "tokens", "n_known", "base", "tail", "rest", "times"])
+
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(is_train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
+    schema = f"row long, id {dict(docs.dtypes)[id_col]}, train boolean, tokens array<short>, n_known long, base double, tail double, rest array<long>, times array<long>"
+    encoded = scratch.written(plain.mapInArrow(run, schema), "encoded")
+    return Corpus(encoded, counts, frequent, sums, n, v, shape, scratch)
+
+
+def _tokens(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """Each row's tokens."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), column.offsets.to_numpy()
+    at = at - at[0]
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def fit(corpus: Corpus, *, start_docs: int = 256) -> dict[str, np.ndarray]:
+    """Weights after one pass over all training texts, every window of them.
+
+    Texts are dealt to blocks of about block_tokens by a hash of their ids and tokens. Every block goes on from a common start
+    with its own texts, in the order of their hashes; the blocks' weights are averaged by their numbers of tokens. So
+    the weights depend on the rows, not on how they are partitioned (but for the last bits of sums). The start has
+    the counts of all training text as biases and the rest from start_docs texts, its bound, those of the least hashes.
+    """
+    shape, scratch = corpus.shape, corpus.scratch
+    spark = corpus.encoded.sparkSession
+    train = corpus.encoded.where("train").select(F.xxhash64("id", "tokens").alias("key"), "tokens")
+    first = Model(shape)
+    first.begin(corpus.frequent.head_counts(), corpus.class_sums[:, 0])
+    chosen = train.orderBy("key").limit(start_docs).toArrow() if start_docs else None
+    if chosen is not None and len(chosen):
+        first.run(_tokens(chosen.column("tokens")), True)
+        first.descend()
+    if not corpus.n:
+        return first.w
+    sent = spark.sparkContext.broadcast(first.w)
+    blocks = max(1, -(-corpus.n // shape.block_tokens))
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        docs = _tokens(table.column("tokens"))
+        model, n = Model(shape, {k: v.copy() for k, v in sent.value.items()}), sum(map(len, docs))
+        for i in range(0, len(docs), shape.buffer_docs):
+            model.run(docs[i : i + shape.buffer_docs], True)
         model.descend()  # gradients that no full step took up
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([model.packed().astype("<f8") * n]).cast(pa.list_(pa.float64()))], ["n", "sums"])
+        return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([n], pa.int64()), "sums": pa.array([model.packed().astype("<f8") * n]).cast(pa.list_(pa.float64()))})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, None
@@ -398,10 +468,29 @@ def fit(train: DataFrame, frequent: Frequent, tails: np.ndarray, shape: Shape, *
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total]).cast(pa.list_(pa.float64()))], ["n", "sums"])
 
-    kind = "n long, sums array<double>"
-    parts = written(texts.mapInArrow(run, kind), "weights").repartition(8).mapInArrow(add, kind).collect()
-    n = sum(r["n"] for r in parts)
-    return first.unpacked(sum(np.asarray(r["sums"]) for r in parts) / n) if n else first.w
+    dealt = train.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    parts = scratch.written(dealt.groupBy("block").applyInArrow(one, "block long, n long, sums array<double>"), "weights")
+    sums = parts.repartition(8, "block").sortWithinPartitions("block").select("n", "sums").mapInArrow(add, "n long, sums array<double>").collect()
+    n = sum(r["n"] for r in sums)
+    return first.unpacked(sum(np.asarray(r["sums"]) for r in sums) / n) if n else first.w
+
+
+def scored(corpus: Corpus, weights: dict[str, np.ndarray]) -> DataFrame:
+    """One row for each text: row, id, n_tokens, n_known, base, lm and, for words that aren't frequent, rest and times."""
+    shape = corpus.shape
+    sent = corpus.encoded.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(shape, sent.value)
+        for batch in batches:
+            for i in range(0, len(batch), shape.buffer_docs):
+                own = batch.slice(i, shape.buffer_docs)
+                docs = _tokens(own.column("tokens"))
+                lm = model.run(docs, False) / math.log(10)
+                yield pa.RecordBatch.from_arrays([own.column("row"), pa.array([len(d) for d in docs], pa.int64()), pa.array(lm, pa.float64())], ["row", "n_tokens", "lm"])
+
+    lm = corpus.encoded.select("row", "tokens").mapInArrow(run, "row long, n_tokens long, lm double")
+    return corpus.scratch.written(lm, "scored")
 
 
 def score(docs: DataFrame, is_train: Column, *, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
@@ -412,59 +501,11 @@ def score(docs: DataFrame, is_train: Column, *, id_col: str = "doc_id", text_col
     token alone. Without training rows every count is 0 and the model stays as it begins. Repeated rows are answered
     each, null ids too; an empty table gives an empty one; other columns are ignored.
     """
-    spark = docs.sparkSession
-    train = docs.where(is_train)
-    counts = written(count_words(train, text_col, shape.tail_classes), "word-counts")
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words, numbers, classes = most_frequent(counts, shape.frequent)
-    frequent = Frequent(words, numbers, shape)
-    by_class = {r["class"]: (r["n"], r["v"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    sums = np.zeros((shape.tail_classes, 2))
-    for c, pair in by_class.items():
-        sums[c] = pair
-    np.subtract.at(sums, classes[: shape.head], np.stack([numbers[: shape.head], np.ones(min(len(numbers), shape.head))], 1) if len(numbers) else np.zeros((0, 2)))
-    class_log = np.log10(sums.sum(1) + 1)
-    weights = fit(train, frequent, sums[:, 0], shape, text_col=text_col)
-    sent = spark.sparkContext.broadcast((frequent, weights, class_log))
-    least = math.log10(n + v + 1)
-    kinds = dict(docs.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, weights, class_log = sent.value
-        model, row = Model(shape, weights), TaskContext.get().partitionId() << 36
-        kind = None
-        for batch_rows in _buffers(_typed(batches), shape.buffer_docs):
-            out: dict[str, list] = {k: [] for k in ("row", "id", "n_tokens", "n_known", "base", "lm", "rest", "times")}
-            docs = []
-            for i, hashes, tails in batch_rows:
-                ids, c = frequent.look_up(hashes, tails)
-                docs.append(ids)
-                known = c >= 0
-                tail = ids >= shape.head
-                logs = np.log10(c[known] + 1.0).sum()
-                tail_logs = np.log10(c[known & tail] + 1.0).sum() - class_log[ids[tail] - shape.head].sum()
-                rest, times = np.unique(hashes[~known], return_counts=True)
-                for k, x in (("row", row), ("id", i), ("n_tokens", len(ids)), ("n_known", int(known.sum())), ("base", logs - len(ids) * least), ("lm", tail_logs), ("rest", rest.astype(np.int64)), ("times", times)):
-                    out[k].append(x)
-                row += 1
-            lm = model.run(docs, False) / math.log(10) + np.array(out["lm"])
-            kind = kind or batches_id_type[0]
-            at = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in out["rest"]])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *out[k]]).astype(np.int64))) for k in ("rest", "times")]
-            yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["id"], kind), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(lm, pa.float64()), *lists], ["row", "id", "n_tokens", "n_known", "base", "lm", "rest", "times"])
-
-    batches_id_type: list = []
-
-    def _typed(batches):
-        for b in batches:
-            if not batches_id_type:
-                batches_id_type.append(b.schema.field("id").type)
-            yield b
-
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = written(plain.mapInArrow(run, f"row long, id {kinds[id_col]}, n_tokens long, n_known long, base double, lm double, rest array<long>, times array<long>"), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("row", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
-    seen = rare.join(counts.select("word", "n"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"), F.sum("times").alias("more"))
-    out = scored.select("row", "id", "n_tokens", "n_known", "base", "lm").join(seen, "row", "left")
+    corpus = prepare(docs, is_train, id_col=id_col, text_col=text_col, shape=shape)
+    lm = scored(corpus, fit(corpus))
+    corpus.scratch.drop("counts", "encoded", "scored")
+    rare = corpus.encoded.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("row", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
+    seen = rare.join(corpus.counts.select("word", "n"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"), F.sum("times").alias("more"))
+    out = corpus.encoded.select("row", "id", "n_known", "base", "tail").join(lm, "row").join(seen, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
-    return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("lm") + logs).alias("score"))
+    return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(corpus.n).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("lm") + F.col("tail") + logs).alias("score"))
