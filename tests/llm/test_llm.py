@@ -720,28 +720,99 @@ def test_lm_probabilities_and_gradients():
     assert model.run(seq, False).sum() > before + 3
 
 
-def fitted(spark, texts, shape, parts):
-    own = list(langmodel.tokens_of(texts))
-    words, n = np.unique(np.concatenate([h for h, _ in own]), return_counts=True)
-    by = np.lexsort((words, -n))
-    frequent, tails = langmodel.Frequent(words[by], n[by], shape), np.ones(shape.tail_classes)
+def fitted(spark, texts, shape, parts=2, **options):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    corpus = langmodel.prepare(table, F.lit(True), shape=shape)
     start = langmodel.Model(shape)
-    start.begin(frequent.head_counts(), tails)
-    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
-    return start.w, langmodel.fit(table, frequent, tails, shape, start_docs=0)
+    start.begin(corpus.frequent.head_counts(), corpus.class_sums[:, 0])
+    return start.w, langmodel.fit(corpus, **options), corpus
 
 
 def test_lm_learns_from_every_window(spark):
     first, rest = "a b c d e ", ("b a c d e " * 7, "e d c a b " * 7)
-    weights = [fitted(spark, [first + r] * 4, SMALL, 1)[1] for r in rest]  # the first window and all counts are the same
+    weights = [fitted(spark, [first + r] * 4, SMALL, start_docs=0)[1] for r in rest]  # the first window and all counts are the same
     assert not np.allclose(weights[0]["gates"], weights[1]["gates"], atol=1e-6)
 
 
-def test_lm_learns_from_small_partitions(spark):
-    start, end = fitted(spark, [f"a b c{i}" for i in range(8)], langmodel.Shape(head_classes=2, width=4, tail_classes=3, frequent=20), 8)
+def test_lm_learns_from_small_blocks(spark):
+    shape = langmodel.Shape(head_classes=2, width=4, tail_classes=3, frequent=20, block_tokens=8)
+    start, end, _ = fitted(spark, [f"a b c{i}" for i in range(8)], shape, start_docs=0)
     assert any(not np.allclose(start[k], end[k], atol=1e-6) for k in start)
 
 
+def test_lm_does_not_depend_on_partitions(spark):
+    random.seed(11)
+    rows = [(i, " ".join(random.choice("a b c d e f g h".split()) for _ in range(random.randint(0, 60)))) for i in range(120)]
+    shape = langmodel.Shape(hidden=8, head_classes=2, width=4, tail_classes=3, frequent=20, streams=4, window=5, block_tokens=500)
+    scores = [{r["doc_id"]: r["score"] for r in langmodel.score(docs(spark, rows).repartition(n), F.col("doc_id") % 3 != 0, shape=shape).collect()} for n in (1, 7)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-4)
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def log_softmax(values, at):
+    top = max(values)
+    return values[at] - top - math.log(sum(math.exp(v - top) for v in values))
+
+
+def plain_score(text, corpus, counts, w):
+    """log10 probability of a text, a token at a time, in plain Python."""
+    shape, h = corpus.shape, corpus.shape.hidden
+    hashes, tails = next(langmodel.tokens_of([text]))
+    ids = corpus.frequent.look_up(hashes, tails)[0].tolist()
+    state, previous, total = [0.0] * h, shape.head + shape.tail_classes, 0.0
+    for word, i in zip(hashes.astype(np.int64).tolist(), ids, strict=True):
+        x = w["table"][previous].tolist()
+        gate = [sigmoid(x[j] + sum(state[k] * float(w["gates"][k, j]) for k in range(h))) for j in range(2 * h)]
+        new = [math.tanh(x[2 * h + j] + sum(gate[k] * state[k] * float(w["candidate"][k, j]) for k in range(h))) for j in range(h)]
+        state = [gate[h + j] * state[j] + (1 - gate[h + j]) * new[j] for j in range(h)]
+        classes = [float(w["class_bias"][c]) + sum(state[k] * float(w["classes"][k, c]) for k in range(h)) for c in range(shape.head_classes + shape.tail_classes)]
+        if i < shape.head:
+            c, at = divmod(i, shape.width)
+            inner = [float(w["word_bias"][c, j]) + sum(state[k] * float(w["words"][c, k, j]) for k in range(h)) for j in range(shape.width)]
+            total += (log_softmax(classes, c) + log_softmax(inner, at)) / math.log(10)
+        else:
+            own = i - shape.head
+            total += log_softmax(classes, shape.head_classes + own) / math.log(10) + math.log10(counts.get(word, 0) + 1) - corpus.class_log[own]
+        previous = i
+    return total
+
+
+def test_lm_scores_equal_a_plain_model(spark):
+    random.seed(12)
+    words = [random.choice("abcdefg") + random.choice("xyz") for _ in range(40)]
+    rows = [*ODD[:7], *((i, " ".join(random.choices(words, k=random.randint(0, 40)))) for i in range(20, 70))]
+    table, is_train = docs(spark, rows), F.col("doc_id") % 3 != 0
+    corpus = langmodel.prepare(table, is_train, shape=SMALL)
+    counts = {r["word"]: r["n"] for r in corpus.counts.collect()}
+    weights = langmodel.fit(corpus)
+    got = collections.defaultdict(set)
+    for r in langmodel.score(table, is_train, shape=SMALL).collect():
+        got[r["doc_id"]].add(r["score"])
+    for i, text in rows:
+        assert min(abs(x - plain_score(text, corpus, counts, weights)) for x in got[i]) <= 1e-4 * (1 + abs(min(got[i]))), i
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    """A text's words follow from those before them: the base can't know, the model learns it."""
+    random.seed(13)
+    chain = {w: random.sample(range(30), 2) for w in range(30)}
+
+    def walk():
+        w, out = random.randrange(30), []
+        for _ in range(60):
+            out.append(f"w{w}")
+            w = random.choice(chain[w])
+        return " ".join(out)
+
+    shape = langmodel.Shape(hidden=24, head_classes=4, width=16, tail_classes=2, frequent=100, streams=16, window=8)
+    rows = langmodel.score(docs(spark, [(i, walk()) for i in range(1500)]), F.col("doc_id") % 5 != 2, shape=shape).where("doc_id % 5 = 2")
+    base, model, n = rows.agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    assert model / n > base / n + 0.3
+
+
 # --- 10 language ID ---------------------------------------------------------------------------------------------
 
 
