@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.functions import text as T
+
 CUTS = (1, 3, 5, 10)
 
 
@@ -39,7 +41,7 @@ def run_metrics(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def answer_means(scores: DataFrame, names: tuple[str, ...] = ("faithfulness", "correctness")) -> DataFrame:
     """Means of judged answers, nulls aside."""
-    return scores.agg(*(F.avg(F.least(F.greatest(F.col(n), F.lit(0)), F.lit(10))).alias(n) for n in names))
+    return scores.agg(*(F.avg(T.clamped(F.col(n), 0, 10)).alias(n) for n in names))
 
 
 def sample(rows: DataFrame, n: int, seed: int = 0, id_col: str = "id") -> DataFrame:

@@ -383,14 +383,3 @@ def relationships_of(entity_ids: DataFrame, relationships: DataFrame) -> DataFra
 def summaries_containing(communities: DataFrame, entity_id: object, levels: int | Sequence[int] | None = None) -> DataFrame:
     """Summaries of the communities that hold the entity, at the readable levels."""
     return communities.where(F.array_contains("entity_ids", F.lit(entity_id)) & F.col("summary").isNotNull() & at_levels(levels))
-
-
-def detected(entities: DataFrame, relationships: DataFrame, *, rounds: int = 5, min_size: int = 1) -> DataFrame:
-    """community, level, entity_ids of each collection by itself: label propagation at level 0, components at level 1."""
-    inside = weighted_edges(relationships, entities)
-    collection = entities.select("id", "collection")
-    a, b = collection.toDF("source_id", "__a"), collection.toDF("target_id", "__b")
-    own = inside.join(a, "source_id").join(b, "target_id").where(F.col("__a").eqNullSafe(F.col("__b"))).drop("__a", "__b")
-    levels = hierarchy([label_propagation(own, entities, rounds), components(own, entities)])
-    out = [community_lists(m, i, min_size) for i, m in enumerate(levels)]
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])

@@ -15,20 +15,22 @@ from sextant.plans.storage import cut
 def attribution(spans: DataFrame, chunks: DataFrame, min_score: float = 0.3) -> DataFrame:
     """span_id, chunk_id, score: the share of a span's distinct words that a chunk holds, at least min_score.
 
-    A chunk that holds c of a span's n words holds one of any n - c + 1 of them. Spans and chunks meet by the span's rarest
-    ones only, so that no frequent word brings all of them together; the words of those that met are then compared in full.
+    A chunk that holds c of a span's n words holds t of any n - c + t of them. Spans and chunks meet by so many of the span's
+    rarest words, with t half of c, so that its most frequent ones bring nothing together; pairs that share t are then
+    compared in full.
     """
-    words = chunks.select("chunk_id", T.word_set(F.col("text")).alias("words"))
-    words = cut(words.where(F.size("words") > 0))
-    span_words = cut(spans.select("span_id", T.word_set(F.col("text")).alias("w")).where(F.size("w") > 0))
+    words = cut(chunks.select("chunk_id", T.word_set(F.col("text")).alias("words")))
+    span_words = cut(spans.select("span_id", T.word_set(F.col("text")).alias("w"))).where(F.size("w") > 0)
     asked = span_words.select("span_id", F.explode("w").alias("word"))
     counts = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     rarest = asked.join(counts, "word").groupBy("span_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("known"))
     needed = F.greatest(F.lit(1), F.ceil(F.size("w") * F.lit(float(min_score)) - 1e-9)).cast("int")
+    least = F.greatest(F.lit(1), F.floor(needed / 2)).cast("int")
     # Words that no chunk holds come first in the order of rarity; they need no join.
-    prefix = F.size("w") - needed + 1 - (F.size("w") - F.size("known"))
-    few = span_words.join(rarest, "span_id").where(prefix > 0).select("span_id", F.explode(F.slice("known", F.lit(1), prefix)).alias("k")).select("span_id", F.col("k.word").alias("word"))
-    met = words.select("chunk_id", F.explode("words").alias("word")).join(few, "word").select("span_id", "chunk_id").distinct()
+    prefix = F.size("known") - needed + least
+    few = span_words.join(rarest, "span_id").where(prefix > 0).select("span_id", least.alias("least"), F.explode(F.slice("known", F.lit(1), prefix)).alias("k")).select("span_id", "least", F.col("k.word").alias("word"))
+    met = words.select("chunk_id", F.explode("words").alias("word")).join(few, "word").groupBy("span_id", "chunk_id").agg(F.count("*").alias("n"), F.first("least").alias("least"))
+    met = met.where("n >= least").select("span_id", "chunk_id")
     both = met.join(span_words, "span_id").join(words, "chunk_id")
     scored = both.select("span_id", "chunk_id", (F.size(F.array_intersect("w", "words")) / F.size("w")).alias("score"))
     return scored.where(F.col("score") >= min_score)

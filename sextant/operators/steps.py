@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.operators.retrieval import accumulate, first_of, ranked
+from sextant.operators.retrieval import accumulate, first_of, top_per
 
 Search = Callable[[str, str | None], DataFrame]  # question, collection -> id, text, score, best first
 Model = Callable[[str], str]
@@ -130,7 +130,7 @@ def reason(ctx: Context, model: Model, search: Search, rounds: int = 2) -> Conte
     asked = {q for q, *_ in ctx.results}
     for _ in range(rounds):
         said = json_in(model(f"Is this enough? Say {{\"sufficient\": true}} or {{\"query\": ...}}.\n{ctx.question}"))
-        query = said.get("query") if isinstance(said, dict) and not said.get("sufficient", True) else None
+        query = said.get("query") if isinstance(said, dict) and said.get("sufficient") is not True else None
         if not query or query in asked:
             break
         asked.add(query)
@@ -156,7 +156,7 @@ def answer(ctx: Context, model: Model, corrections: int = 0) -> Context:
     text, n = model(prompt), 0
     while n < corrections:
         said = json_in(model(f"Is the answer grounded? Say {{\"grounded\": true}} or {{\"feedback\": ...}}.\n{text}"))
-        if not isinstance(said, dict) or said.get("grounded", True):
+        if not isinstance(said, dict) or said.get("grounded", "feedback" not in said):
             break
         text, n = model(f"{prompt}\n\nMend this: {said.get('feedback', '')}"), n + 1
     return replace(ctx, answer=text, corrections=n)
@@ -220,14 +220,12 @@ def run_loop(question: str, controller: Callable[[LoopState], dict[str, Any]], s
     return state
 
 
-def evaluate(cases: DataFrame, retriever: Callable[[str], DataFrame]) -> DataFrame:
-    """case_id, id, rank for a bounded set of cases (case_id, question); a retriever that fails found nothing."""
-    out = None
-    for c in cases.limit(10_000).collect():
-        try:
-            hits = retriever(c["question"])
-        except Exception:  # noqa: BLE001  a miss
-            continue
-        own = ranked(hits, 0).select(F.lit(c["case_id"]).alias("case_id"), "id", "rank")
-        out = own if out is None else out.union(own)
-    return out if out is not None else cases.sparkSession.createDataFrame([], f"case_id {dict(cases.dtypes)['case_id']}, id long, rank int")
+def evaluate(cases: DataFrame, retriever: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """case_id, id, rank of all cases (case_id, question) from one plan: the retriever takes the cases and gives hits
+    (case_id, id, score). A case without hits is a miss; so are all if the retriever fails."""
+    try:
+        hits = retriever(cases)
+        hits.schema  # a plan that can't be resolved fails here
+    except Exception:  # noqa: BLE001
+        return cases.sparkSession.createDataFrame([], f"case_id {dict(cases.dtypes)['case_id']}, id long, rank int")
+    return top_per(hits, 2**31 - 1, "case_id").select("case_id", "id", "rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
+from sextant.operators import communities as C
 from sextant.operators import graph as G
 from sextant.operators import ingest as I
 from sextant.operators import retrieval as R
@@ -22,6 +23,8 @@ KEY = r"trim(regexp_replace(regexp_replace(lower(name), '[_-]+', ' ', 'g'), '[\x
 # The extractor's rules: a run of capitalized words between word boundaries, each once a text, numbered by first place.
 RUN = r"'\b[A-Z][a-z]+(?:[ \t\n\r\f\v]+[A-Z][a-z]+)*\b'"
 FOUND = f"runs AS (SELECT doc_id AS chunk_id, regexp_extract_all(text, {RUN}) AS every FROM documents), numbered AS (SELECT chunk_id, unnest(every) AS name, unnest(range(len(every))) AS n FROM runs), firsts AS (SELECT chunk_id, name, min(n) AS n FROM numbered GROUP BY ALL), found AS (SELECT chunk_id, name, row_number() OVER (PARTITION BY chunk_id ORDER BY n) - 1 AS place FROM firsts)"
+COMMS = "comms AS (SELECT id, level, entity_ids, CASE WHEN len(entity_ids) % 3 <> 0 THEN 'summary of ' || id END AS summary, len(entity_ids) % 2 = 0 AS dirty, len(entity_ids) % 13 AS change_count, CASE WHEN len(entity_ids) % 5 <> 0 THEN 'f' END AS summary_fingerprint FROM (SELECT 'n' || s_nationkey AS id, 0 AS level, list_sort(list('s' || s_suppkey)) AS entity_ids FROM supplier GROUP BY s_nationkey UNION ALL SELECT 'R-' || collection, 1, list_sort(list(id)) FROM ents WHERE type = 'supplier' GROUP BY collection))"
+ALL = f"{BASE}, {COMMS}"
 START = ("n1", "n3")
 
 
@@ -168,14 +171,32 @@ def community_connected_components(spark, sf):
     return G.components(views.relationships(spark, sf), views.entities(spark, sf))
 
 
+@register("community_hierarchy")
+def community_hierarchy(spark, sf):
+    """level, community, id of every entity, by modularity over the whole graph; tests hold fixtures against their optimum."""
+    levels = C.detect_levels(views.entities(spark, sf), views.relationships(spark, sf), C.Detection("modularity", max_level=1, rounds=6))
+    out = None
+    for i, m in enumerate(levels):
+        own = m.select(F.lit(i).alias("level"), "community", "id")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@register("community_carry_over", f"{ALL}, n AS (SELECT level, entity_ids, CASE WHEN len(entity_ids) % 2 = 0 THEN 'f' ELSE 'g' END AS fingerprint FROM comms), o AS (SELECT * FROM comms WHERE len(entity_ids) % 3 <> 0) SELECT n.level, array_to_string(n.entity_ids, ',') AS members, o.summary, NOT coalesce(o.summary_fingerprint = n.fingerprint, false) AS dirty FROM n LEFT JOIN o ON o.level = n.level AND o.entity_ids = n.entity_ids")
+def community_carry_over(spark, sf):
+    """Newly detected communities take over the summaries of old ones with the same members."""
+    old = views.region_communities(spark, sf)
+    new = old.select("level", F.reverse("entity_ids").alias("entity_ids"), F.when(F.size("entity_ids") % 2 == 0, "f").otherwise("g").alias("fingerprint"))
+    rows = G.carried_over(new, old.where(F.size("entity_ids") % 3 != 0))
+    return rows.select("level", F.array_join(F.array_sort("entity_ids"), ",").alias("members"), "summary", "dirty")
+
+
 @register("community_label_propagation")
 def community_label_propagation(spark, sf):
     entities = views.entities(spark, sf)
     return G.label_propagation(G.weighted_edges(views.relationships(spark, sf), entities), entities)
 
 
-COMMS = "comms AS (SELECT id, level, entity_ids, CASE WHEN len(entity_ids) % 3 <> 0 THEN 'summary of ' || id END AS summary, len(entity_ids) % 2 = 0 AS dirty, len(entity_ids) % 13 AS change_count, CASE WHEN len(entity_ids) % 5 <> 0 THEN 'f' END AS summary_fingerprint FROM (SELECT 'n' || s_nationkey AS id, 0 AS level, list_sort(list('s' || s_suppkey)) AS entity_ids FROM supplier GROUP BY s_nationkey UNION ALL SELECT 'R-' || collection, 1, list_sort(list(id)) FROM ents WHERE type = 'supplier' GROUP BY collection))"
-ALL = f"{BASE}, {COMMS}"
 
 
 @register("community_membership_lists", f"{ALL} SELECT id, array_to_string(entity_ids, ',') AS members, len(entity_ids) AS n FROM comms WHERE level = 0 AND len(entity_ids) >= 2")

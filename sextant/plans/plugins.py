@@ -61,16 +61,28 @@ class VectorStore(Protocol):
 
 
 class GraphStore(Protocol):
-    def persist(self, tables: dict[str, DataFrame]) -> None: ...
+    """What sources.graph_store.ParquetGraph offers; another store needs the same."""
+
+    def persist_entities(self, collection: str, rows: DataFrame) -> DataFrame: ...
+
+    def persist_relationships(self, rows: DataFrame, ids: DataFrame) -> None: ...
+
+    def persist_mentions(self, rows: DataFrame, ids: DataFrame) -> None: ...
+
+    def persist_communities(self, collection: str, rows: DataFrame) -> None: ...
 
     def search(self, names: list[str], depth: int) -> DataFrame: ...
 
+    def search_by_embedding(self, query: list[float]) -> DataFrame: ...
+
     def related(self, start: DataFrame, depth: int) -> DataFrame: ...
 
     def delete_by_chunks(self, chunk_ids: DataFrame) -> None: ...
 
     def delete_by_collection(self, collection: str) -> None: ...
 
+    def sweep(self, collection: str | None) -> None: ...
+
 
 #: A language model: prompt to answer.
 LanguageModel = Callable[[str], str]

@@ -242,7 +242,7 @@ def eval_by_mode(spark, sf):
     return found.select("mode", "n_cases", F.round("mrr", 6).alias("mrr"), *(F.round(f"hit_at_{k}", 6).alias(f"hit_at_{k}") for k in E.CUTS))
 
 
-@register("eval_answer_means", "SELECT avg(least(greatest(quality * 12, 0), 10)) AS faithfulness, avg(least(greatest(toxic * 4, 0), 10)) AS correctness FROM labels")
+@register("eval_answer_means", "SELECT avg(CASE WHEN quality IS NOT NULL THEN least(greatest(quality * 12, 0), 10) END) AS faithfulness, avg(CASE WHEN toxic IS NOT NULL THEN least(greatest(toxic * 4, 0), 10) END) AS correctness FROM labels")
 def eval_answer_means(spark, sf):
     return E.answer_means(views.table(spark, sf, "labels").select((F.col("quality") * 12).alias("faithfulness"), (F.col("toxic") * 4).alias("correctness")))
 

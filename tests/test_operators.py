@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.functions import vector as V
+from sextant.operators import communities as C
 from sextant.operators import evaluation as E
 from sextant.operators import graph as G
 from sextant.operators import grounding, ingest, steps
@@ -316,7 +317,7 @@ def test_lookups(spark, graph):
     assert G.relationships_of(ids, graph["relationships"]).count() == 2
     comms = graph["communities"].withColumn("summary", F.lit("s"))
     assert [r["id"] for r in G.summaries_containing(comms, "f", 1).collect()] == ["y"]
-    found = G.detected(graph["entities"], graph["relationships"], min_size=2).collect()
+    found = C.detect_by_collection(graph["entities"], graph["relationships"], C.Detection(min_size=2)).collect()
     assert {x for r in found for x in r["entity_ids"]} == set("abcde")
     assert one(spark, T.is_uuid(F.lit("no"))) is False
     assert one(spark, T.relation_line(F.lit("a"), F.lit("R"), F.lit("b"), F.lit(None).cast("string"))) == "a -R-> b"
