@@ -14,6 +14,11 @@ from sextant.llm import langid, neardup, packing, secrets
 from sextant.llm.common import written
 
 
+#: Words whose ids a packing worker remembers: fewer than packing's own default, as its memory lies beside what the stages
+#: before have made the executor's heap grow to. Ids are the same.
+CACHED_WORDS = 100_000
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is recognized, all columns as they are.
 
@@ -67,7 +72,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is one piece of one id; a long one is cut; repeated rows are packed each. An empty table gives
     no pieces.
     """
-    return packing.pack(docs)
+    return packing.pack(docs, cached_words=CACHED_WORDS)
 
 
 STAGES = [

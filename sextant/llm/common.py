@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,8 +72,18 @@ def crc_mod(col: Column, m: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(m))
 
 
+def give_back() -> None:
+    """Return what a worker process has freed but still holds to the system: workers wait for later tasks, beside others that need memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not the GNU library
+        pass
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """mapInArrow with per-task state: make() runs once a task and gives the function from batch to columns."""
+    """mapInArrow with per-task state: make() runs once a task and gives the function from batch to columns. A task gives
+    back the memory it has freed."""
     out = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +92,8 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
             step = step or make()
             columns = step(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in out], schema=out)
+        step = batch = columns = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

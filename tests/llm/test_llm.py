@@ -893,3 +893,27 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert by[8]["text"] == "[SECRET] and [SECRET]" and by[8]["n_chars"] == 21 and by[1]["text"] is None and by[6]["text"].endswith("[SECRET]")
     packed = stages["packing"](spark, table, SF).collect()
     assert sum(r["start"] == 0 for r in packed) == len(rows)
+
+
+def test_pipeline_bounds_what_packing_remembers(spark, monkeypatch):
+    import corpus_pipeline
+
+    told = {}
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, **options: told.update(options))
+    corpus_pipeline.pack_sequences(spark, None, SF)
+    assert told["cached_words"] <= 100_000
+    texts = [f"word{i % 7} other{i} Mixed-{i * i}, don't" for i in range(300)]
+    few, many = packing.WordIds(cached_words=40), packing.WordIds()
+    assert [few.encode_batch(texts[i : i + 9]) for i in range(0, 300, 9)] == [many.encode_batch(texts[i : i + 9]) for i in range(0, 300, 9)]
+    assert len(few.words) < len(many.words)
+
+
+def test_workers_give_back_freed_memory():
+    from sextant.llm.common import give_back
+
+    held = lambda: int(re.search(r"Rss:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+    rows = [bytes(100_000) for _ in range(1500)]
+    del rows[:-1]
+    before = held()
+    give_back()
+    assert held() < before - 50
