@@ -201,14 +201,17 @@ class Model:
         self.w["class_bias"] = np.log(np.concatenate([full.sum(1), tails]) + 1e-3).astype(np.float32)
 
     def run(self, docs: list[np.ndarray], train: bool) -> np.ndarray:
-        """Natural log-probability of each document's classes and head words; with train, it also learns from every window."""
+        """Natural log-probability of each document's classes and head words; with train, it also learns from every window.
+
+        Streams lie along the last axis, so that numpy's loops run over them and not over the few numbers of a state.
+        """
         shape, w, h = self.shape, self.w, self.shape.hidden
         scores = np.zeros(len(docs))
         if not docs:
             return scores
         ids, owner = streams_of(docs, shape.streams)
         start = shape.head + shape.tail_classes
-        state = np.zeros((ids.shape[1], h), np.float32)
+        state = np.zeros((h, ids.shape[1]), np.float32)
         for t0 in range(0, len(ids), shape.window):
             own, who = ids[t0 : t0 + shape.window], owner[t0 : t0 + shape.window]
             live = np.flatnonzero(own[0] >= 0)
@@ -219,21 +222,22 @@ class Model:
             fresh = who != previous
             inputs = np.where(fresh, start, np.vstack([ids[t0 - 1][live][None] if t0 else own[:1], own[:-1]]))
             inputs[own < 0] = start
-            x = w["table"][inputs]
-            last = state[live]
-            keep = np.empty((5 if train else 1, *own.shape, h), np.float32)  # new states; with train also old ones, gates and candidates
+            x = np.ascontiguousarray(w["table"][inputs].transpose(0, 2, 1))
+            gates, candidate = np.ascontiguousarray(w["gates"].T), np.ascontiguousarray(w["candidate"].T)
+            last = state[:, live]
+            keep = np.empty((5 if train else 1, len(own), h, own.shape[1]), np.float32)  # new states; with train also old ones, gates and candidates
             for t in range(len(own)):
                 if fresh[t].any():
-                    last = np.where(fresh[t][:, None], np.float32(0), last)
-                rz = last @ w["gates"]
-                rz += x[t, :, : 2 * h]
+                    last = np.where(fresh[t], np.float32(0), last)
+                rz = gates @ last
+                rz += x[t, : 2 * h]
                 rz *= np.float32(0.5)
                 np.tanh(rz, out=rz)
                 rz *= np.float32(0.5)
                 rz += np.float32(0.5)
-                r, z = rz[:, :h], rz[:, h:]
-                c = (r * last) @ w["candidate"]
-                c += x[t, :, 2 * h :]
+                r, z = rz[:h], rz[h:]
+                c = candidate @ (r * last)
+                c += x[t, 2 * h :]
                 np.tanh(c, out=c)
                 if train:
                     keep[1, t], keep[2, t], keep[3, t], keep[4, t] = last, r, z, c
@@ -241,81 +245,87 @@ class Model:
                 new *= z
                 new += c
                 keep[0, t] = last = new
-            state[live] = last
-            valid = own >= 0
-            flat = keep[0][valid]
-            target = own[valid]
+            state[:, live] = last
+            valid = np.flatnonzero(own >= 0)
+            flat = keep[0].transpose(1, 0, 2).reshape(h, -1)
+            if len(valid) < own.size:
+                flat = flat.take(valid, 1)
+            target = own.ravel()[valid]
             logp, grad = self.output(flat, target, train)
-            scores += np.bincount(who[valid], weights=logp, minlength=len(docs))
+            scores += np.bincount(who.ravel()[valid], weights=logp, minlength=len(docs))
             if train:
-                back = np.zeros((*own.shape, h), np.float32)
-                back[valid] = grad["state"]
-                self.learn(inputs, fresh, valid, keep, back, grad, len(target))
+                back = np.zeros((h, own.size), np.float32)
+                back[:, valid] = grad["state"]
+                self.learn(inputs, fresh, keep, back.reshape(h, *own.shape), grad, len(target))
         return scores
 
     def output(self, flat: np.ndarray, target: np.ndarray, train: bool) -> tuple[np.ndarray, dict]:
         shape, w = self.shape, self.w
         head = target < shape.head
         cls = np.where(head, target // shape.width, shape.head_classes + target - shape.head)
-        logits = flat @ w["classes"] + w["class_bias"]
-        logits -= logits.max(1, keepdims=True)
+        logits = w["classes"].T @ flat
+        logits += w["class_bias"][:, None]
+        logits -= logits.max(0)
         e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        rows = np.arange(len(flat))
-        logp = (logits[rows, cls] - np.log(total[:, 0])).astype(np.float64)
+        total = e.sum(0)
+        columns = np.arange(flat.shape[1])
+        logp = (logits[cls, columns] - np.log(total)).astype(np.float64)
         grad: dict = {}
         if train:
             e /= total
-            e[rows, cls] -= 1
-            grad = {"classes": flat.T @ e, "class_bias": e.sum(0), "state": e @ w["classes"].T, "words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
+            e[cls, columns] -= 1
+            grad = {"classes": flat @ e.T, "class_bias": e.sum(1), "state": w["classes"] @ e, "words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
         at = np.flatnonzero(head)
         at = at[np.argsort(cls[at].astype(np.int16), kind="stable")]
         ends = np.searchsorted(cls[at], np.arange(shape.head_classes + 1))
-        f_all, words, inside = flat[at], target[at] % shape.width, np.zeros(len(at))
-        back = np.empty_like(f_all) if train else None
+        f_all, words, inside = flat.take(at, 1), target[at] % shape.width, np.zeros(len(at))
+        back = np.zeros((len(f_all), len(at) + 1), np.float32) if train else None  # the last column: of tokens that are no head words
         for k in range(shape.head_classes):
             own = slice(ends[k], ends[k + 1])
-            word, f = words[own], f_all[own]
+            word, f = words[own], f_all[:, own]
             if len(word):
-                inner = f @ w["words"][k] + w["word_bias"][k]
-                inner -= inner.max(1, keepdims=True)
+                inner = w["words"][k].T @ f
+                inner += w["word_bias"][k][:, None]
+                inner -= inner.max(0)
                 i = np.arange(len(word))
-                inside[own] = inner[i, word]
+                inside[own] = inner[word, i]
                 ei = np.exp(inner, out=inner)
-                ti = ei.sum(1, keepdims=True)
-                inside[own] -= np.log(ti[:, 0])
+                ti = ei.sum(0)
+                inside[own] -= np.log(ti)
                 if train:
                     ei /= ti
-                    ei[i, word] -= 1
-                    grad["words"][k], grad["word_bias"][k] = f.T @ ei, ei.sum(0)
-                    back[own] = ei @ w["words"][k].T
+                    ei[word, i] -= 1
+                    grad["words"][k], grad["word_bias"][k] = f @ ei.T, ei.sum(1)
+                    back[:, own] = w["words"][k] @ ei
         logp[at] += inside
         if train:
-            grad["state"][at] += back
+            place = np.full(len(target), len(at))
+            place[at] = np.arange(len(at))
+            grad["state"] += back.take(place, 1)
         return logp, grad
 
-    def learn(self, inputs, fresh, valid, keep, back, grad, n) -> None:
+    def learn(self, inputs, fresh, keep, back, grad, n) -> None:
         """Backpropagation through the window. A step waits until the gradients of half a full window's tokens have come
         together, so that where few streams are left, a single long document doesn't lead the model away."""
         w, h = self.w, self.shape.hidden
         _, last, r, z, c = keep
-        table = np.empty((*inputs.shape, 3 * h), np.float32)
+        table = np.empty((len(inputs), 3 * h, inputs.shape[1]), np.float32)
         by_candidate, by_update, by_reset = (1 - z) * (1 - c * c), (last - c) * z * (1 - z), last * r * (1 - r)
-        carried = np.zeros_like(back[0])
+        carried = np.zeros_like(back[:, 0])
         for t in range(len(inputs) - 1, -1, -1):
-            d = back[t] + carried
+            d = back[:, t] + carried
             dc = d * by_candidate[t]
-            drh = dc @ w["candidate"].T
-            table[t, :, :h], table[t, :, h : 2 * h], table[t, :, 2 * h :] = drh * by_reset[t], d * by_update[t], dc
-            carried = table[t, :, : 2 * h] @ w["gates"].T
+            drh = w["candidate"] @ dc
+            table[t, :h], table[t, h : 2 * h], table[t, 2 * h :] = drh * by_reset[t], d * by_update[t], dc
+            carried = w["gates"] @ table[t, : 2 * h]
             d *= z[t]
             drh *= r[t]
             carried += d
             carried += drh
-            carried[fresh[t]] = 0
-        flat = table.reshape(-1, 3 * h)
-        grad["gates"] = last.reshape(-1, h).T @ flat[:, : 2 * h]
-        grad["candidate"] = (r * last).reshape(-1, h).T @ flat[:, 2 * h :]
+            carried[:, fresh[t]] = 0
+        flat = table.transpose(0, 2, 1).reshape(-1, 3 * h)
+        grad["gates"] = last.transpose(1, 0, 2).reshape(h, -1) @ flat[:, : 2 * h]
+        grad["candidate"] = (r * last).transpose(1, 0, 2).reshape(h, -1) @ flat[:, 2 * h :]
         order = np.argsort(inputs.astype(np.int16) if len(w["table"]) < 1 << 15 else inputs, axis=None, kind="stable")
         at = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
