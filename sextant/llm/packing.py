@@ -32,17 +32,20 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
 
 class WordIds:
-    """Text to ids as little-endian 32-bit bytes; unseen words go to the tokenizers library, a batch at a time.
+    """Text to ids as little-endian 32-bit bytes; unseen words go to the tokenizers library's model, a batch at a time.
 
     No pre-token of this vocabulary holds white space, so the ids of a text are those of its words, one after another.
     """
 
     def __init__(self, path: str = VOCABULARY, cached_words: int = 600_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # The model alone, for pre-tokens that are folded already: neither the normalizer nor the pattern runs again.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 + max(vocab.values()), bool)
         for token, i in vocab.items():
@@ -67,40 +70,32 @@ class WordIds:
         """Ids of new words, through those of their pre-tokens; new pre-tokens in one call, cut where a token ends a word."""
         folded = self.folded("\n".join(words)).split("\n")  # folding leaves line ends where they are
         parts = [[w] if w.isalpha() else [w[:-1], w[-1]] if w[-1] in ".,!?" and w[:-1].isalpha() else self.split(w) for w in folded]
-        new = list(set(chain.from_iterable(parts)) - self.tokens.keys())
+        new = list(set(chain.from_iterable(parts)).difference(self.tokens))
         if new:
-            ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
-            after = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = np.array(self.model.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+            after = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(after) == len(new):
-                raw, start = ids.astype("<u4").tobytes(), 0
-                for token, end in zip(new, after, strict=True):
-                    self.tokens[token] = raw[4 * start : 4 * end]
-                    start = end
+                raw = ids.astype("<u4").tobytes()
+                self.tokens.update(zip(new, map(raw.__getitem__, map(slice, chain((0,), after), after)), strict=True))
             else:
                 for token in new:
                     self.tokens[token] = np.array(self.library.encode(token, add_special_tokens=False).ids, "<u4").tobytes()
-        token = self.tokens.__getitem__
-        for word, own in zip(words, parts, strict=True):
-            self.words[word] = token(own[0]) if len(own) == 1 else b"".join(map(token, own))
+        token = self.tokens
+        self.words.update(zip(words, [token[own[0]] if len(own) == 1 else b"".join([token[t] for t in own]) for own in parts], strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids. Words are looked up in passes over a batch that run inside the interpreter's own functions."""
         if len(self.words) >= self.most:
             self.words = {}
         if len(self.tokens) >= self.most:
             self.tokens = {}
-        parts = [list(chain.from_iterable([p] if p in self.special else self.spaced(p) if _SEPARATORS.search(p) else p.split() for p in (self.cut.split(t) if any(s in t for s in self.special) else (t,)))) for t in texts]
+        parts = [list(chain.from_iterable([p] if p in self.special else self.spaced(p) if _SEPARATORS.search(p) else p.split() for p in self.cut.split(t))) if any(s in t for s in self.special) else self.spaced(t) if _SEPARATORS.search(t) else t.split() for t in texts]
         for s, i in self.special.items():
             self.words[s] = np.array([i], "<u4").tobytes()
-        found = [list(map(self.words.get, own)) for own in parts]
-        fresh: set[str] = set()
-        for own, ids in zip(parts, found, strict=True):
-            if None in ids:
-                fresh.update([w for w, x in zip(own, ids) if x is None])
+        fresh = set().union(*parts).difference(self.words)
         if fresh:
             self.learn(list(fresh))
-            word = self.words.__getitem__
-            found = [[word(w) if x is None else x for w, x in zip(own, ids)] if None in ids else ids for own, ids in zip(parts, found, strict=True)]
-        return list(map(b"".join, found))
+        return [b"".join(map(self.words.__getitem__, own)) for own in parts]
 
 
 @lru_cache(maxsize=1)

@@ -671,6 +671,15 @@ def test_packing_equals_the_library(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_folds_and_splits_new_words_once():
+    """New words go to the library's model as the pre-tokens they are; its whole way is only for what that can't tell apart."""
+    codec = packing.WordIds()
+    library, codec.library = codec.library, None
+    texts = ["İstanbul ΑΣ Σ e\u0301te\u0301 ﬁ Å ǅ don't 'S x1y2 +++ 漢字 é😀\x1c.", "ab\u0085cd \u200b\u2028 a\u0345 ß_ẞ <|endoftext|>x İ̇"]
+    for _ in range(2):  # the second time from what is cached
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in codec.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_pads_little():
     rng = np.random.default_rng(9)
     lengths = np.sort(rng.integers(1, 2049, 3000))[::-1]
