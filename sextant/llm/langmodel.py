@@ -41,8 +41,8 @@ class Shape:
     frequent: int = 1 << 18
     streams: int = 256
     window: int = 24
-    buffer_docs: int = 4096
-    block_tokens: int = 1 << 20
+    buffer_docs: int = 16384
+    block_tokens: int = 1 << 21
     rate: float = 0.05
 
     @property
@@ -50,8 +50,9 @@ class Shape:
         return self.head_classes * self.width
 
 
-def tokens_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, last letters) of each text's tokens, the end token last."""
+def steps_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes and last letters of the tokens of about a megabyte of texts at a time, and where each text's tokens begin
+    (one more entry: the end). Every text's last token is its end."""
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     i = 0
     while i < len(raw):
@@ -60,11 +61,17 @@ def tokens_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
             held += len(raw[j])
             j += 1
         words, at, tails = words_of(raw[i:j])
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield np.append(words[a:b], END), np.append(tails[a:b], 0)
+        yield np.insert(words, at[1:], END), np.insert(tails, at[1:], 0), at + np.arange(len(at))
         i = j
 
 
+def tokens_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, last letters) of each text's tokens, the end token last."""
+    for hashes, tails, at in steps_of(texts):
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield hashes[a:b], tails[a:b]
+
+
 def tail_class(tails: np.ndarray, classes: int) -> np.ndarray:
     return (tails.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % classes
 
@@ -93,9 +100,9 @@ def count_words(docs: DataFrame, text_col: str, classes: int, most: int = 1 << 2
             return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(groups), pa.array(counts)], ["word", "class", "n"])
 
         for batch in batches:
-            for own in tokens_of(batch.column("text").to_pylist()):
-                pending.append(own)
-                size += len(own[0])
+            for hashes, tails, _ in steps_of(batch.column("text").to_pylist()):
+                pending.append((hashes, tails))
+                size += len(hashes)
                 if size >= most:
                     merge()
             if len(words) >= most:
@@ -139,6 +146,25 @@ class Frequent:
         self.order = np.argsort(words, kind="stable")
         self.words, self.counts, self.rank = words[self.order], counts[self.order], rank[self.order]
         self.shape = shape
+        # Where the words of each bucket, the first bits of a hash, begin.
+        bits = min(20, max(1, 2 + len(words).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.words, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def places(self, hashes: np.ndarray, most: int = 8) -> np.ndarray:
+        """np.searchsorted(words, hashes), the last place at most: from a bucket's begin a few places on, as buckets are small."""
+        last = len(self.words) - 1
+        at = np.minimum(self.first[(hashes >> self.shift).view(np.int64)], last)
+        todo = np.flatnonzero(self.words[at] < hashes)
+        for _ in range(most):
+            if not len(todo):
+                break
+            at[todo] += 1
+            todo = todo[at[todo] <= last]
+            todo = todo[self.words[at[todo]] < hashes[todo]]
+        if len(todo):
+            at[todo] = np.searchsorted(self.words, hashes[todo])
+        return np.minimum(at, last, out=at)
 
     def head_counts(self) -> np.ndarray:
         """Counts of the head words, by rank."""
@@ -151,7 +177,7 @@ class Frequent:
         ids = self.shape.head + tail_class(tails, self.shape.tail_classes)
         if not len(self.words):
             return ids, np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        at = self.places(hashes)
         known = self.words[at] == hashes
         rank = self.rank[at]
         return np.where(known & (rank < self.shape.head), rank, ids), np.where(known, self.counts[at], -1)
@@ -405,24 +431,32 @@ def prepare(docs: DataFrame, is_train: Column, *, id_col: str = "doc_id", text_c
         frequent, class_log = sent.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("tokens", "n_known", "base", "tail", "rest", "times")}
-            for hashes, tails in tokens_of(batch.column("text").to_pylist()):
+            out: dict[str, list] = {k: [] for k in ("tokens", "n_known", "base", "tail", "rest", "times", "n_tokens", "n_rest")}
+            for hashes, tails, at in steps_of(batch.column("text").to_pylist()):
                 ids, c = frequent.look_up(hashes, tails)
-                known, tail = c >= 0, ids >= shape.head
-                rest, times = np.unique(hashes[~known], return_counts=True)
+                known, tail, sizes = c >= 0, ids >= shape.head, np.diff(at)
+                logs = np.log10(np.maximum(c, 0) + 1.0)
+                shares = np.where(tail, logs - class_log[np.maximum(ids - shape.head, 0)], 0)
                 out["tokens"].append(ids.astype(np.int16))
-                out["n_known"].append(int(known.sum()))
-                out["base"].append(np.log10(c[known] + 1.0).sum() - len(ids) * least)
-                out["tail"].append(np.log10(c[known & tail] + 1.0).sum() - class_log[ids[tail] - shape.head].sum())
-                out["rest"].append(rest.astype(np.int64))
-                out["times"].append(times)
+                out["n_tokens"].append(sizes)
+                for name, of in (("n_known", known.astype(np.int64)), ("base", logs), ("tail", shares)):
+                    out[name].append(np.add.reduceat(of, at[:-1]))  # no text is without a token
+                out["base"][-1] -= sizes * least
+                rest, owner = hashes[~known], np.repeat(np.arange(len(sizes)), sizes)[~known]
+                order = np.lexsort((rest, owner))
+                rest, owner = rest[order], owner[order]
+                begin = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1]))) if len(rest) else np.zeros(0, np.int64)
+                out["rest"].append(rest[begin].view(np.int64))
+                out["times"].append(np.diff(np.append(begin, len(rest))))
+                out["n_rest"].append(np.bincount(owner[begin], minlength=len(sizes)))
+            flat = {k: np.concatenate([np.zeros(0, np.float64 if k in ("base", "tail") else np.int16 if k == "tokens" else np.int64), *v]) for k, v in out.items()}
             lists = []
-            for name, kind in (("tokens", np.int16), ("rest", np.int64), ("times", np.int64)):
-                at = np.concatenate([[0], np.cumsum([len(x) for x in out[name]])]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, kind), *out[name]]).astype(kind))))
+            for name, sizes in (("tokens", "n_tokens"), ("rest", "n_rest"), ("times", "n_rest")):
+                at = np.concatenate([[0], np.cumsum(flat[sizes])]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(flat[name])))
             rows = pa.array(row + np.arange(len(batch)), pa.int64())
             row += len(batch)
-            yield pa.RecordBatch.from_arrays([rows, batch.column("id"), batch.column("train"), lists[0], pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["tail"], pa.float64()), *lists[1:]], ["row", "id", "train", "tokens", "n_known", "base", "tail", "rest", "times"])
+            yield pa.RecordBatch.from_arrays([rows, batch.column("id"), batch.column("train"), lists[0], pa.array(flat["n_known"]), pa.array(flat["base"]), pa.array(flat["tail"]), *lists[1:]], ["row", "id", "train", "tokens", "n_known", "base", "tail", "rest", "times"])
 
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(is_train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     schema = f"row long, id {dict(docs.dtypes)[id_col]}, train boolean, tokens array<short>, n_known long, base double, tail double, rest array<long>, times array<long>"

@@ -713,6 +713,25 @@ def test_lm_base_scores(spark):
     assert langmodel.score(docs(spark, [(1, "a b")]), F.lit(False), shape=SMALL).first()["train_tokens"] == 0
 
 
+def test_lm_finds_words_of_crowded_buckets():
+    rng = np.random.default_rng(6)
+    words = np.unique(np.concatenate([rng.integers(0, 2**64, 3000, np.uint64), np.arange(50, dtype=np.uint64), ~np.arange(50, dtype=np.uint64)]))
+    asked = np.concatenate([words, words + np.uint64(1), words - np.uint64(1), rng.integers(0, 2**64, 3000, np.uint64)])
+    for own in (words, words[:1], words[-1:], words[60:70]):
+        frequent = langmodel.Frequent(own, np.arange(len(own), 0, -1), langmodel.Shape())
+        assert (frequent.places(asked) == np.minimum(np.searchsorted(own, asked), len(own) - 1)).all()
+        counts = dict(zip(own.tolist(), range(len(own), 0, -1), strict=True))
+        assert frequent.look_up(asked, np.zeros(len(asked), np.int64))[1].tolist() == [counts.get(x, -1) for x in asked.tolist()]
+
+
+def test_lm_tokens_come_by_steps(monkeypatch):
+    monkeypatch.setattr(langmodel, "_STEP", 40)
+    texts = [None, "", "One two", "  ", "x" * 100, "one TWO one"] * 3
+    got = [h[a:b].tolist() for h, t, at in langmodel.steps_of(texts) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert [len(x) for x in got] == [len(words_of(t)) + 1 for t in texts] and all(x[-1] == int(langmodel.END) for x in got)
+    assert got[2][:2] == got[5][:2] and got[5][2] == got[5][0] and got[:6] == got[6:12]
+
+
 def test_lm_probabilities_and_gradients():
     model = langmodel.Model(SMALL)
     every = SMALL.head + SMALL.tail_classes
